@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, line_dedup, pii, repetition, simhash, token_parquet, url_rules
+from . import bpe, chain_dedup, decontaminate, license_scan, line_dedup, pii, repetition, simhash, token_parquet, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_parquet.encode_to_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_decontaminate, op4_simhash, op5_repetition, op6_url_rules, op8_line_dedup, op9_pii, op10_token_parquet)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_decontaminate, op4_simhash, op5_repetition, op6_url_rules, op7_chain_dedup, op8_line_dedup, op9_pii, op10_token_parquet)}
 
 ORACLE_SQL: dict[str, str] = {}
