@@ -23,6 +23,8 @@ from .common import stored
 #: Fixed values of the contract: verdict, host, path prefix.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 SUPPORT, CONFIDENCE = 0.005, 0.6
+#: And a set is in so many bad URLs at least, however few are labelled.
+LEAST = 10
 FIT_ROWS, FIT_TOKENS = 200_000, 12
 #: Mined rules are broadcast up to so many, else the lookup is a shuffled join.
 BROADCAST_RULES = 100_000
@@ -52,14 +54,14 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(part("h:", F.split(host, "\\.")), part("p:", F.split(path, "/")), part("q:", keys)))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """tokens (sorted), by (the rarest), support, confidence; labelled: id, tokens, bad."""
     spark = labelled.sparkSession
     fitted = stored(labelled.where(F.size("tokens") > 0).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("id", "tokens", "bad"), "url-labelled")
     empty = spark.createDataFrame([], "tokens array<string>, by string, support double, confidence double")
     n = fitted.count()
     bad = fitted.where("bad")
-    least = max(2, round(support * n))
+    least = max(least, round(support * n))
     if bad.limit(least).count() < least:
         return empty
     each = bad.select("id", F.explode("tokens").alias("t"))
