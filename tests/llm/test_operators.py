@@ -371,7 +371,7 @@ def test_line_dedup(docs, rows, empty):
 
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
-    assert line_dedup.patience([1, 1, 2, 1], [1, 2, 1, 1]) == [(0, 0), (2, 1), (3, 3)] or True
+    assert line_dedup.patience([1, 2, 3], [1, 5, 3]) == [(0, 0), (2, 2)]
     rng = np.random.default_rng(2)
     for _ in range(200):
         a, b = (rng.integers(0, 6, rng.integers(0, 12)).tolist() for _ in "ab")
