@@ -55,6 +55,8 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def shared_lines(lines: DataFrame) -> DataFrame:
     """doc_id, sig, lines (at, no, h, words of the lines that other ids hold too, in order) and firsts (their first holders)."""
     held = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
+    # Written, so that the join deals both sides out itself and may split the lines that very many documents hold.
+    held = stored(held, "line-holders")
     rows = lines.dropDuplicates(["doc_id", "sig", "at"]).join(held, "h")
     return rows.groupBy("doc_id", "sig").agg(F.sort_array(F.collect_list(F.struct("at", "no", "h", "words"))).alias("lines"), F.collect_set("first").alias("firsts"))
 
