@@ -137,7 +137,9 @@ def offsets(rows: DataFrame) -> DataFrame:
     """Adds start, the ids before each row in file order: a running sum within each file, and the
     sums of the files before it, of which there is one row a file."""
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = files.select("file", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # By part number: as text, part-100000 would come before part-99999.
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    before = files.select("file", F.coalesce(F.sum("total").over(Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row")) - F.col("n_tokens")
     return rows.withColumn("inside", inside).join(before, "file").withColumn("start", F.col("before") + F.col("inside")).drop("inside", "before")
 
