@@ -12,6 +12,7 @@ stay in one order by text; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -33,7 +34,25 @@ END_ID = 1
 #: Words kept with their ids in each Python worker, and the longest kept. Results don't depend on them.
 CACHED, CACHED_BYTES = 1_000_000, 48
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
-_PLAIN_WORD = re.compile(rb"([a-z]+)([.,]*)")
+#: ASCII letters, then ASCII marks (no apostrophe, which begins pre-tokens such as 's).
+_PLAIN_WORD = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _splits_plain_words(spec: dict) -> bool:
+    """Whether a vocabulary's rules are known to lower-case A-Z, to cut runs of letters from runs
+    of marks, and to leave both as they are otherwise. By other rules every word is encoded whole."""
+    norm, pre = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    kinds = [x["type"] for x in norm.get("normalizers", [])]
+    cuts = pre.get("pretokenizers", [])
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"]
+        and norm["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"] == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+        and not spec["model"].get("dropout")
+    )
 
 
 class WordBpe:
@@ -48,7 +67,7 @@ class WordBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.lower = '"Lowercase"' in self.tokenizer.to_str()[:4000]
+        self.splits = _splits_plain_words(json.loads(self.tokenizer.to_str()))
         self.cache: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
@@ -57,20 +76,23 @@ class WordBpe:
         return [array("I", x.ids).tobytes() for x in found]
 
     def _new(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of parts. Letters and the full stops or commas after them are separate pre-tokens."""
-        split, direct = {}, []
+        """Ids of parts. The letters and the marks of a plain word are a pre-token each, as they
+        stand, so the library's model alone has their ids, without a whole Encoding for each."""
+        out, direct, stems = {}, [], self.stems
+        tokenize = self.tokenizer.model.tokenize
         for p in parts:
-            m = _PLAIN_WORD.fullmatch(p.lower()) if self.lower else None
-            if m:
-                split[p] = m.groups()
-            else:
+            m = _PLAIN_WORD.fullmatch(p.lower()) if self.splits else None
+            if not m:
                 direct.append(p)
-        need = {x for pair in split.values() for x in pair if x and x not in self.stems}
-        self.stems.update(dict(zip(need, self._encoded(list(need)), strict=True)))
-        out = dict(zip(direct, self._encoded(direct), strict=True))
-        out.update((p, self.stems[a] + (self.stems[b] if b else b"")) for p, (a, b) in split.items())
-        if len(self.stems) > CACHED:
-            self.stems.clear()
+                continue
+            a, b = m.groups()
+            for x in (a, b) if b else (a,):
+                if x not in stems:
+                    stems[x] = array("I", [t.id for t in tokenize(x.decode())]).tobytes()
+            out[p] = stems[a] + stems[b] if b else stems[a]
+        out.update(zip(direct, self._encoded(direct), strict=True))
+        if len(stems) > CACHED:
+            stems.clear()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
