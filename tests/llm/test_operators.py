@@ -418,6 +418,56 @@ def test_chain_dedup(spark, docs, rows, empty):
     assert chain_dedup.repeated(empty).count() == 0
 
 
+def prose(rng, n):
+    return [f"t{x}" for x in rng.integers(0, 10**9, n)]
+
+
+def test_chain_dedup_links_pairs_between_the_ends(spark):
+    """Two documents share 80 words; the first and last holders of either half are other documents."""
+    rng = np.random.default_rng(3)
+    shared = prose(rng, 80)
+    parts = {10: shared, 11: shared, 1: shared[:40], 90: shared[:40], 2: shared[40:], 91: shared[40:]}
+    rows = [(d, " ".join(prose(rng, 60) + part + prose(rng, 60))) for d, part in parts.items()]
+    found = chain_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["partner_id"], r["start"], r["end"]) for r in found} == {(10, 11, 60, 140), (11, 10, 60, 140)}
+
+
+def test_chain_dedup_against_brute_force(spark):
+    """Texts pieced together from a pool: whatever two of them share in LONG + LONG_GAP - 1 or more
+    consecutive words, finds link, directly or over others; and no find is of texts that share nothing."""
+    rng = np.random.default_rng(11)
+    pool = [prose(rng, 100) for _ in range(12)]
+    texts = {}
+    for d in range(60):
+        words = prose(rng, 30)
+        for _ in range(int(rng.integers(0, 4))):
+            one, two = pool[int(rng.integers(0, 12))], pool[int(rng.integers(0, 12))]
+            lo, hi = int(rng.integers(0, 40)), int(rng.integers(40, 100))
+            words += one[lo:] + two[:hi] + prose(rng, 30)
+        texts[d] = words
+    least = chain_dedup.LONG + chain_dedup.LONG_GAP - 1
+    holders = {}
+    for d, words in texts.items():
+        for k in range(len(words) - least + 1):
+            holders.setdefault(tuple(words[k : k + least]), set()).add(d)
+    shared = {(a, b) for group in holders.values() for a in group for b in group if a < b}
+    assert len(shared) > 20
+    rows = [(d, " ".join(words)) for d, words in texts.items()]
+    found = chain_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    root = list(range(60))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        x, y = texts[r["doc_id"]][r["start"] : r["end"]], texts[r["partner_id"]][r["partner_start"] : r["partner_end"]]
+        assert min(len(x), len(y)) >= 50 and len(set(x) & set(y)) >= 0.8 * 50
+        root[top(r["doc_id"])] = top(r["partner_id"])
+    assert all(top(a) == top(b) for a, b in shared)
+
+
 def test_token_files(spark, docs, rows, empty, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path(token_parquet.VOCABULARY))
     t.encode_special_tokens = True
