@@ -19,6 +19,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain, islice
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import picked, shared_dir, text_slices
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words kept with their ids in each Python worker, and the longest kept. Results don't depend on them.
-CACHED, CACHED_BYTES = 1_000_000, 48
+CACHED, CACHED_BYTES = 500_000, 48
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 #: ASCII letters, then ASCII marks (no apostrophe, which begins pre-tokens such as 's).
 _PLAIN_WORD = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
@@ -110,7 +111,11 @@ class WordBpe:
         return [b"".join(islice(rest, len(p))) for p in split]
 
 
-_loaded: dict[str, WordBpe] = {}
+@cache
+def loaded(vocabulary: str) -> WordBpe:
+    """One for each Python worker, for all its tasks. A function of the module is sent by name; a
+    dictionary that a task's own function reads would be sent along, new and empty for each task."""
+    return WordBpe(vocabulary)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = END_ID, partitions: int | None = None) -> None:
@@ -125,9 +130,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     dealt = (one.repartitionByRange(partitions, *by) if partitions else one.repartitionByRange(*by)).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _loaded:
-            _loaded[vocabulary] = WordBpe(vocabulary)
-        bpe, end = _loaded[vocabulary], array("I", [end_id]).tobytes()
+        bpe, end = loaded(vocabulary), array("I", [end_id]).tobytes()
         for batch in batches:
             for part in text_slices(batch):
                 ids = [x + end for x in bpe.encode(part.column("text").to_pylist())]
