@@ -158,10 +158,10 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return found if ids else found.drop("ids")
 
 
-def offsets(rows: DataFrame) -> DataFrame:
+def offsets(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds start, the ids before each row in file order: a running sum within each file, and the
-    sums of the files before it, of which there is one row a file."""
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    sums of the files before it, of which there is one row a file. sizes: file, n_tokens of the rows."""
+    files = sizes.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     # By part number: as text, part-100000 would come before part-99999.
     part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
     before = files.select("file", F.coalesce(F.sum("total").over(Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -183,7 +183,8 @@ def index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), batch.column("file"), batch.column("row"), pa.array(crc, pa.int64())], ["doc_id", "n_tokens", "file", "row", "ids_crc32"])
 
     found = rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, file string, row long, ids_crc32 long")
-    return offsets(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # The sums of files read no ids.
+    return offsets(found, read(spark, path, ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def encode_to_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, **options: object) -> DataFrame:
