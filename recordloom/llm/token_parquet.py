@@ -37,6 +37,8 @@ CACHED, CACHED_BYTES = 500_000, 48
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 #: ASCII letters, then ASCII marks (no apostrophe, which begins pre-tokens such as 's).
 _PLAIN_WORD = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: What normal form C joins to the character before it lies from U+0300 on.
+_MAY_COMPOSE = re.compile("[^\x00-\u02ff]")
 
 
 def _splits_plain_words(spec: dict) -> bool:
@@ -98,7 +100,9 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.encode().split() for t in texts]
+        # Where nothing can compose with a letter, A-Z may be lower-cased first: fewer words are new.
+        low = [self.splits and not _MAY_COMPOSE.search(t) for t in texts]
+        split = [(t.encode().lower() if x else t.encode()).split() for t, x in zip(texts, low, strict=True)]
         parts = list(chain.from_iterable(split))
         ids = list(map(self.cache.get, parts))
         if None in ids:

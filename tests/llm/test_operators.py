@@ -486,6 +486,20 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert token_parquet.encode_to_files(empty).count() == 0
 
 
+def test_words_are_encoded_as_by_the_library():
+    path = public_tokenizers.path(token_parquet.VOCABULARY)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rng = np.random.default_rng(5)
+    plain, odd = "abcXYZ!#$%&'*+,./:;<=>?@[]^_`{|}~-09é\u00dc \t\n\x00\x0b\x1f\x85\xa0", "Hh\u0331\u0301\u1e96\u0130\u1e30\u212a\u3000\u6f22"
+    texts = ["".join(rng.choice(list(letters), 40)) for letters in (plain, plain + odd) for _ in range(1500)]
+    texts += ["<|startoftext|> <|endoftext|> a<|endoftext|>.", "H\u0331 h\u0331 It's IT'S WE'LL abc.,&&&DEF", ""]
+    bpe = token_parquet.WordBpe(path)
+    assert bpe.splits
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert bpe.encode(texts) == want and bpe.encode(texts[::-1]) == want[::-1]
+
+
 def test_token_files_layout(spark, docs, tmp_path):
     import pyarrow.parquet as pq
 
