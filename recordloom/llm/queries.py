@@ -58,4 +58,36 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_decontaminate, op4_simhash, op5_repetition, op6_url_rules, op7_chain_dedup, op8_line_dedup, op9_pii, op10_token_parquet)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Of the others, each column set needs a tokenizer, XXH64, alignments or a trained model.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": r"""
+WITH words AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), item_words AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), item_windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), sizes AS (
+  SELECT DISTINCT k FROM item_windows
+), doc_windows AS (
+  SELECT rid, k, i, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, sizes WHERE len(w) >= k)
+), found AS MATERIALIZED (
+  SELECT rid, d.k, i, item_id FROM doc_windows d JOIN item_windows USING (k, g)
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM found) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+""",
+}
