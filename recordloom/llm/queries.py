@@ -58,7 +58,7 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_license_scan, op3_decontaminate, op4_simhash, op5_repetition, op6_url_rules, op7_chain_dedup, op8_line_dedup, op9_pii, op10_token_parquet)}
 
-#: Of the others, each column set needs a tokenizer, XXH64, alignments or a trained model.
+#: The other queries need a tokenizer, XXH64, alignments or a trained model.
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": r"""
 WITH words AS MATERIALIZED (
