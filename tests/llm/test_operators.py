@@ -468,6 +468,43 @@ def test_chain_dedup_against_brute_force(spark):
     assert all(top(a) == top(b) for a, b in shared)
 
 
+def test_chain_dedup_splits_chains(spark):
+    """Two passages of 61 words, in the same order in both documents, lie 100 to 500 different words apart."""
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for n, gap in enumerate((100, 200, 350, 500)):
+        one, two = prose(rng, 61), prose(rng, 61)
+        for d in (2 * n, 2 * n + 1):
+            rows.append((d, " ".join(prose(rng, 70) + one + prose(rng, gap) + two + prose(rng, 70))))
+            want |= {(d, d ^ 1, 70, 131, 1.0), (d, d ^ 1, 131 + gap, 192 + gap, 1.0)}
+    found = chain_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["partner_id"], r["start"], r["end"], r["identity"]) for r in found} == want
+
+
+def test_chain_parts_against_brute_force():
+    """_parts() finds a range wherever there is one, and only ranges that are finds; halving traces as well as one table."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        x = rng.integers(0, 10**6, 150)
+        y = np.where(rng.random(150) < rng.choice([0.1, 0.25, 0.5], 150 // 30).repeat(30), rng.integers(0, 10**6, 150), x)
+        y = np.delete(y, rng.integers(0, 150, 3))
+        i, j = chain_dedup._pairs(x, y)
+        assert (x[i] == y[j]).all() and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
+        assert len(i) == chain_dedup._lengths(x, y)[-1][-1]
+        cost = np.r_[0, np.cumsum(np.maximum(np.diff(i), np.diff(j)))]
+        some = any(min(i[b] - i[a], j[b] - j[a]) + 1 >= 50 and b - a + 1 >= 0.8 * (cost[b] - cost[a] + 1) - 1e-9 for a in range(len(i)) for b in range(a, len(i)))
+        found = chain_dedup._parts(i, j)
+        assert bool(found) == some
+        assert all(min(p1 - p0, q1 - q0) >= 50 and n >= 0.8 * max(p1 - p0, q1 - q0) for p0, p1, q0, q1, n in found)
+    x, y = rng.integers(0, 4, 70), rng.integers(0, 4, 90)
+    whole = len(chain_dedup._traced(x, y))
+    try:
+        cells, chain_dedup.TRACE_CELLS = chain_dedup.TRACE_CELLS, 50
+        assert len(chain_dedup._traced(x, y)) == whole
+    finally:
+        chain_dedup.TRACE_CELLS = cells
+
+
 def test_token_files(spark, docs, rows, empty, tmp_path):
     t = Tokenizer.from_file(public_tokenizers.path(token_parquet.VOCABULARY))
     t.encode_special_tokens = True
