@@ -2,9 +2,11 @@
 
 A document is aligned with the earlier documents that share lines with it, and lines in aligned
 common blocks go from the later one (of the larger id). Overlapping documents are found through
-line hashes: each line's rows are aggregated to its first holder and its number of holders, and
-a later holder is paired with the first one, so a line held by a third of all documents makes as
-many pairs as it has holders, not their square. Rare lines anchor the patience diff: of the lines
+hashes of lines and of runs of consecutive lines: each one's rows are aggregated to its first and
+last holder, and a later holder is paired with the first one, so a line held by a third of all
+documents makes as many pairs as it has holders, not their square. Runs are the shortest ones of
+MIN_WORDS words from each line on and up to each line, so every line of a block that two documents
+share is in a run of that block, whose first holder has that run too; and each line with the next. Rare lines anchor the patience diff: of the lines
 once in both documents the longest increasing run is kept, blocks grow from these anchors over
 equal neighbours, and gaps are aligned in the same way. Blocks of fewer than MIN_WORDS words stay.
 
@@ -26,13 +28,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_slices
-from .textvec import GRAPH, NOT_NEWLINE, Hasher, flat, runs
+from .textvec import _ODD, _ODD_INVERSE, GRAPH, NOT_NEWLINE, Hasher, _power, flat, mix, runs
 
 MIN_WORDS = 5
 
 
-def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, sig (of the text), no (the line's number), at (among lines with a word), h, words: a row for each line with a word."""
+def run_hashes(h: np.ndarray, count: np.ndarray, row: np.ndarray, min_words: int) -> list[pa.Array]:
+    """Of each line: hashes of the shortest runs of min_words words from it on and up to it, and of it and the
+    next line. Null where the row has no such run or it is the line alone."""
+    n, at = len(h), np.arange(len(h))
+    total, sums = np.r_[0, np.cumsum(count)], np.zeros(n + 1, np.uint64)
+    np.cumsum(h * _power(_ODD, n), out=sums[1:])
+    out = []
+    for low, high in ((at, np.searchsorted(total, total[:-1] + min_words)), (np.searchsorted(total, total[1:] - min_words, side="right") - 1, at + 1), (at, at + 2)):
+        ok = (low >= 0) & (high <= n) & (high - low > 1)
+        low, high = np.where(ok, low, 0), np.where(ok, high, 1)
+        ok &= row[low] == row[high - 1]
+        key = mix((sums[high] - sums[low]) * _power(_ODD_INVERSE, n + 1)[low] + (high - low).astype(np.uint64))
+        out.append(pa.array(key.view(np.int64), mask=~ok))
+    return out
+
+
+def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, sig (of the text), no (the line's number), at (among lines with a word), h, words, onward, upto, two (run_hashes): a row for each line with a word."""
     one = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).where("doc_id is not null").withColumn("sig", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,18 +65,21 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 start, end, row = lines.start[some], lines.end[some], lines.row[some]
                 at = np.arange(len(row)) - np.searchsorted(row, row)
                 ids = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(ids), part.column("sig").take(ids), pa.array(no[some].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(Hasher(data).ranges(start, end).view(np.int64)), pa.array(count[some].astype(np.int32))], ["doc_id", "sig", "no", "at", "h", "words"])
+                h = Hasher(data).ranges(start, end)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(ids), part.column("sig").take(ids), pa.array(no[some].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(count[some].astype(np.int32)), *run_hashes(h, count[some], row, min_words)], ["doc_id", "sig", "no", "at", "h", "words", "onward", "upto", "two"])
 
-    return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, sig long, no int, at int, h long, words int")
+    return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, sig long, no int, at int, h long, words int, onward long, upto long, two long")
 
 
 def shared_lines(lines: DataFrame) -> DataFrame:
-    """doc_id, sig, lines (at, no, h, words of the lines that other ids hold too, in order) and firsts (their first holders)."""
-    held = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
+    """doc_id, sig, lines (at, no, h, words of the lines that other ids hold too, in order) and firsts (the first holders of lines and runs)."""
+    keys = F.explode(F.array_distinct(F.array_compact(F.array("h", "onward", "upto", "two")))).alias("key")
+    held = lines.select("doc_id", keys).groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
     # Written, so that the join deals both sides out itself and may split the lines that very many documents hold.
     held = stored(held, "line-holders")
-    rows = lines.dropDuplicates(["doc_id", "sig", "at"]).join(held, "h")
-    return rows.groupBy("doc_id", "sig").agg(F.sort_array(F.collect_list(F.struct("at", "no", "h", "words"))).alias("lines"), F.collect_set("first").alias("firsts"))
+    rows = lines.dropDuplicates(["doc_id", "sig", "at"]).select("doc_id", "sig", "at", "no", "h", "words", keys).join(held, "key")
+    line = F.when(F.col("key") == F.col("h"), F.struct("at", "no", "h", "words"))
+    return rows.groupBy("doc_id", "sig").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.collect_set("first").alias("firsts"))
 
 
 def _anchors(a: list[int], b: list[int], count_a: Counter, count_b: Counter) -> list[tuple[int, int]]:
@@ -124,7 +145,7 @@ def common_lines(later: dict, first: dict, min_words: int = MIN_WORDS) -> list[i
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, sig, cut (sorted numbers of the lines to delete), partners (ids aligned with, sorted) of the documents that lose lines."""
-    shared = stored(shared_lines(stored(line_table(docs, id_col, text_col), "lines")), "shared-lines")
+    shared = stored(shared_lines(stored(line_table(docs, id_col, text_col, min_words), "lines")), "shared-lines")
     kind = shared.schema["doc_id"].dataType.simpleString()
     first = shared.select(F.col("doc_id").alias("first"), F.col("lines").alias("b"))
     later = shared.select("doc_id", "sig", F.col("lines").alias("a"), F.explode("firsts").alias("first")).where("doc_id <> first")

@@ -369,6 +369,23 @@ def test_line_dedup(docs, rows, empty):
     assert before == {x for r in new.collect() for x in (r["text"] or "").split("\n")} | (before & {""})
 
 
+def test_line_dedup_pairs_by_runs(spark):
+    """A block of short lines goes from its later copy though each line stands earlier elsewhere, and lines that their
+    first holder has out of order go by an earlier copy that has them in order: as by alignment with all earlier documents."""
+    block = [f"item {k}" for k in range(7)]
+    long = [f"a long line {k} of seven words" for k in range(3)]
+    texts = {k: f"{x}\nonly in {k}" for k, x in enumerate(block)}
+    texts |= {20: "\n".join(["begin", *block, "end of twenty"]), 21: "\n".join(["other start", *block, "other end"])}
+    texts |= {30: "\n".join([long[1], long[0], long[2]]), 31: "\n".join(["x", *long, "y"]), 32: "\n".join(["z", *long, "w"])}
+    want = {}
+    for d, t in texts.items():
+        side = lambda t: {"at": list(range(len(t))), "no": list(range(len(t))), "h": t, "words": [len(GRAPH.findall(x)) for x in t]}
+        want[d] = sorted({n for e, u in texts.items() if e < d for n in line_dedup.common_lines(side(t.split("\n")), side(u.split("\n")))})
+    assert want[21] == list(range(1, 8)) and want[32] == [1, 2, 3]
+    found = line_dedup.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["deleted"] for r in found} == want
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1), (2, 2)]
     assert line_dedup.patience([1, 2, 3], [1, 5, 3]) == [(0, 0), (2, 2)]
