@@ -1,7 +1,8 @@
 """License scan: places of licence phrases, and an exact set-similarity join of text blocks with
 licence templates. DataFrame functions only.
 
-Join: a block (a line) and a template are sets of words. The template containment is the share of
+Join: a block (a line, or a window of as many consecutive words of the text as the template has,
+so that line breaks don't matter) and a template are sets of words. The template containment is the share of
 the template's words that the block has; pairs of CONTAINMENT or more are found, all of them.
 Template words are ordered by their number of blocks in the corpus, rare ones first. A pair that
 shares c or more of a template's t words shares one of the template's first t - c + 1, and its
@@ -15,7 +16,7 @@ ids each get their row; without templates only the phrases count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, sorted_join, stored
@@ -76,10 +77,10 @@ def phrase_columns(text: Column, phrases: dict[str, str] = PHRASES) -> dict[str,
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """template, words (distinct)."""
+    """template, words (distinct), length (in words, repeated ones too)."""
     rows = [(name, text) for name, text in templates.items()]
     one = spark.createDataFrame(rows, "template string, text string")
-    return one.select("template", F.array_distinct(words(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    return one.select("template", F.array_distinct(words(F.col("text"))).alias("words"), F.size(words(F.col("text"))).alias("length")).where(F.size("words") > 0)
 
 
 def containments(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -114,6 +115,28 @@ def containments(docs: DataFrame, templates: DataFrame, containment: float = CON
     return candidates.withColumn("common", share).where("common >= need").select("key", "block", "template", (F.col("common") / F.size("t")).alias("share")).distinct()
 
 
+def wrapped(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """key, template, share: the pairs of the threshold or more in windows of consecutive words, across lines. docs: key, text."""
+    sized = templates.withColumn("need", F.greatest(F.ceil(F.lit(containment) * F.size("words") - F.lit(1e-9)).cast("int"), F.lit(1))).withColumn("t", F.size("words"))
+    summed = sized.agg(F.max("length").alias("most"), F.sum("t").alias("n")).first()
+    if not summed["n"]:
+        return docs.select("key", F.lit("").alias("template"), F.lit(0.0).alias("share")).where("false")
+    small = summed["n"] <= BROADCAST_ROWS
+    texts = docs.where(F.col("text").contains("\n"))
+    if small:
+        # As for lines: a text without any of these words has no template.
+        rows = sized.select("words", "need").collect()  # at most BROADCAST_ROWS words
+        probe = {w for r in rows for w in sorted(r["words"], key=lambda w: (-len(w), w))[: len(r["words"]) - r["need"] + 1]}
+        texts = texts.where(F.col("text").rlike(f"(?i)(?<!{_WORD})(?:{'|'.join(sorted(map(_quoted, probe)))})(?!{_WORD})"))
+    met = sized.select("template", "need", "t", "length", F.explode("words").alias("w"))
+    found = texts.select("key", "text").distinct().select("key", F.posexplode(words(F.col("text"))).alias("pos", "w")).join(F.broadcast(met) if small else met, "w")
+    near = F.collect_list(F.struct("pos", "w")).over(Window.partitionBy("key", "template").orderBy("pos").rangeBetween(0, summed["most"] - 1))
+    inside = F.filter(F.col("near"), lambda x: x["pos"] < F.col("pos") + F.col("length"))
+    common = F.size(F.array_distinct(F.transform(inside, lambda x: x["w"])))
+    counted = found.withColumn("near", near).select("key", "template", "need", "t", common.alias("common")).where("common >= need")
+    return counted.groupBy("key", "template").agg(F.max(F.col("common") / F.col("t")).alias("share"))
+
+
 def _quoted(word: str) -> str:
     return "\\Q" + word.replace("\\E", "") + "\\E"
 
@@ -124,7 +147,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     score: 1 where a phrase stands, else the largest containment found (0 where none reaches the threshold)."""
     rows = keyed(docs, id_col, text_col)
     table = template_table(docs.sparkSession, TEMPLATES if templates is None else templates)
-    shares = containments(rows.select("key", "text"), table, containment)
+    texts = rows.select("key", "text")
+    shares = containments(texts, table, containment).select("key", "template", "share").unionByName(wrapped(texts, table, containment))
     best = shares.groupBy("key").agg(F.array_sort(F.collect_set("template")).alias("more"), F.max("share").alias("share"))
     base = rows.select("doc_id", "key", count_words(F.col("text")).alias("n_words"), *(c.alias(n) for n, c in phrase_columns(F.col("text")).items()))
     none = F.array().cast("array<string>")

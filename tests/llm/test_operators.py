@@ -112,6 +112,19 @@ def test_license(spark, docs, rows, empty):
     assert license_scan.scan(docs, {}).count() == len(rows)
 
 
+def test_license_wrapped(spark):
+    """Notices wrapped over lines are found, wherever the breaks are; words too far apart are not."""
+    notices = {name: text.split() for name, text in license_scan.TEMPLATES.items() if name in ("bsd", "mpl-2.0", "cc-by-4.0")}
+    rows, want = [(0, "\n".join(" ".join([w] + ["other"] * 9) for w in notices["bsd"]))], {0: ("", 0.0)}
+    for name, ws in notices.items():
+        for width in (1, 3, len(ws) // 2):
+            d = len(rows)
+            rows.append((d, "before it\n# " + "\n# ".join(" ".join(ws[k : k + width]) for k in range(0, len(ws), width)) + "\nafter it"))
+            want[d] = (name, 1.0)
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == want
+
+
 def contamination_brute(text, items):
     words = ALNUM.findall(lower(text))
     hit, names = set(), set()
