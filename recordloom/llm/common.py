@@ -10,7 +10,6 @@ Conventions, valid for all operators here:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,28 +18,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a numpy kernel works on at once; one longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a numpy kernel works on at once; one longer text is worked on alone. A kernel
+#: takes some 50 times these bytes, so a task's memory is that of the slice or of its longest text.
+SLICE_BYTES = 256 << 10
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, else one in the warehouse, which they share too."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recordloom-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_written").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, and an executor's
-    loss costs no recomputation of what came before."""
+    loss costs no recomputation of what came before. The files stay until clear()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordloom/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what stored() wrote so far; results that were not fetched yet can't be fetched after it."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def picked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and text (null: empty) alone."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

@@ -2,13 +2,15 @@
 
 Both sides are cut into k-grams of words; of every GAP consecutive k-gram hashes the least is kept,
 so any WINDOW = K + GAP - 1 words that two texts share have a kept k-gram in common, at the same
-place. Training fingerprints pass a bitmap of the benchmark's, of fixed size, and then join them;
-each hit is extended to the windows that hold it, and these are joined as text, so that hash
-collisions can't add hits. An item shorter than a window is one window by itself, found by its
-own length of k-gram.
+place. Training fingerprints pass a bitmap of the benchmark's, of BITS_EACH bits for each of its
+fingerprints (up to MOST_BITS in all, beyond which it lets more through and the joins do more), and
+then join them; each hit is extended to the windows that hold it, and these are joined as text, so
+that hash collisions can't add hits. An item shorter than a window is one window by itself, found
+by its own length of k-gram.
 
 Defined cases: null or empty texts have no words, hit nothing, and an item without words is no
-item; repeated rows each get their result; ids may be null; an empty benchmark hits nothing.
+item; repeated rows each get their result; ids may be null; an empty benchmark hits nothing; a very
+long text is worked on whole, in memory of some 50 times its bytes.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, picked, stored, text_slices
+from .common import fresh, keyed, picked, stored, text_slices
 from .textvec import ALNUM, FOLD, Hasher, flat, grams, runs, winnow
 
 WINDOW, K = 10, 5
 GAP = WINDOW - K + 1
-#: Bits of the bitmap that fingerprints pass before the join; two MB, however large the benchmark.
-BITS = 1 << 24
+#: Bits of the bitmap that fingerprints pass before the join: for each of the benchmark's, and at least and at most (8 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 1 << 16, 1 << 26
 #: The benchmark's windows are broadcast up to so many bytes of text, else both sides are shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -65,15 +67,16 @@ def _item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = items.schema["doc_id"].dataType.simpleString()
     rows = stored(items.mapInArrow(run, f"item_id {kind}, window string, n int, fps array<long>"), "benchmark-windows")
     windows = rows.groupBy("window", "n").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return stored(windows, "benchmark-index"), rows.select("n", F.explode("fps").alias("fp")).distinct()
+    return stored(windows, "benchmark-index"), stored(rows.select("n", F.explode("fps").alias("fp")).distinct(), "benchmark-fps")
 
 
-def _bitmap(fps: DataFrame) -> bytes:
-    """BITS bits; at most BITS / 64 rows reach the driver, whatever the benchmark's size."""
-    bit = F.pmod(F.col("fp"), F.lit(BITS))
-    rows = fps.select((bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(fp, {BITS}) % 64 as int))").alias("v")).groupBy("at").agg(F.bit_or("v").alias("v")).collect()
-    out = np.zeros(BITS // 64, np.int64)
-    out[[r["at"] for r in rows]] = [r["v"] for r in rows]
+def _bitmap(fps: DataFrame, n: int) -> bytes:
+    """Bits for n fingerprints; at most MOST_BITS / 64 numbers reach the driver, whatever the benchmark's size."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n).bit_length()))
+    bit = F.pmod(F.col("fp"), F.lit(size))
+    rows = fps.select((bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(fp, {size}) % 64 as int))").alias("v")).groupBy("at").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["v"].to_numpy()
     return out.tobytes()
 
 
@@ -82,11 +85,12 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     docs: doc_id, text, key; items: doc_id, text."""
     windows, fps = _item_windows(items)
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(fps))
-    short = sorted(r["n"] for r in fps.select("n").distinct().collect() if r["n"] < WINDOW)  # WINDOW - 1 numbers at most
+    sizes = {r["n"]: r["count"] for r in fps.groupBy("n").count().collect()}  # WINDOW rows at most
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(fps, sum(sizes.values())))
+    short = sorted(n for n in sizes if n < WINDOW)
 
     def passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        at = (h & np.uint64(BITS - 1)).astype(np.int64)
+        at = (h & np.uint64(64 * len(bits) - 1)).astype(np.int64)
         return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +119,7 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(first - bounds[rows]), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64()), pa.array([_text(folded, words, a, n) for a, n, _ in found]), pa.nulls(len(found), pa.int64())], ["key", "at", "n", "fp", "window", "n_words"])
 
     out = stored(docs.select("key", "text").mapInArrow(run, "key string, at long, n int, fp long, window string, n_words long"), "decontaminate-hits")
-    index = windows if (windows.agg(F.sum(F.length("window") + 16 * F.size("items"))).first()[0] or 0) > BROADCAST_BYTES else F.broadcast(windows)
+    index = windows if (windows.agg(F.sum(F.octet_length("window") + 24 * F.size("items") + 32)).first()[0] or 0) > BROADCAST_BYTES else F.broadcast(windows)
     # Training fingerprints join the benchmark's: what only collided in the bitmap goes. Then windows join windows.
     seeds = out.where("fp is not null").join(fps, ["n", "fp"], "left_semi")
     return seeds.select("key", "at", "n", "window").distinct().join(index, ["n", "window"]).select("key", "at", "n", "items"), out.where("n_words is not null").select("key", "n_words")
@@ -139,5 +143,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = keyed(docs, id_col, text_col)
     found, _ = hits(rows, picked(benchmark, item_id, item_text))
     key = F.md5(F.concat_ws("\x00", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    lost = found.select(F.col("key").alias("_key")).distinct()
-    return docs.join(lost, key == F.col("_key"), "left_anti")
+    lost = found.select(F.col("key").alias(own := fresh("key"))).distinct()
+    return docs.join(lost, key == F.col(own), "left_anti")

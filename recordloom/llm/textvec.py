@@ -44,8 +44,7 @@ def _power(base: int, n: int) -> np.ndarray:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit reaches every output bit."""
-    h = h.astype(np.uint64, copy=True)
-    h ^= h >> np.uint64(30)
+    h = h ^ (h >> np.uint64(30))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
@@ -90,7 +89,9 @@ class Hasher:
 
     def __init__(self, data: np.ndarray, fold: np.ndarray = SAME):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_RANDOM[fold][data] * _power(_ODD, len(data)), out=self.sums[1:])
+        terms = _RANDOM[fold][data]
+        terms *= _power(_ODD, len(data))
+        np.cumsum(terms, out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * _power(_ODD_INVERSE, len(self.sums))[start]
@@ -105,7 +106,8 @@ def grams(words: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(row[:n] == row[k - 1 :])
     h = np.full(n, k, np.uint64)
     for j in range(k):
-        h = h * np.uint64(_ODD) + words[j : j + n]
+        h *= np.uint64(_ODD)
+        h += words[j : j + n]
     return mix(h[at]), at
 
 
