@@ -7,7 +7,8 @@ groups and pages of set size with page indexes, so a reader of doc_id and n_toke
 no id page, and a reader of a doc_id range only the pages that the index names.
 
 Defined cases: a null text has the end id alone; null doc_ids come first; rows of equal doc_id
-stay in one order by text; an empty table gives an empty table.
+keep the order in which the table is read; an empty table gives an empty table; a text longer than
+ENCODE_BYTES is encoded alone, whole.
 """
 
 from __future__ import annotations
@@ -20,25 +21,33 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import picked, shared_dir, text_slices
+from .textvec import flat
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words kept with their ids in each Python worker, and the longest kept. Results don't depend on them.
+#: Parts of words kept with their ids in each Python worker, and the longest kept. Results don't depend on them.
 CACHED, CACHED_BYTES = 500_000, 48
+#: Bytes of text encoded at once: the more, the fewer look-ups.
+ENCODE_BYTES = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
-#: ASCII letters, then ASCII marks (no apostrophe, which begins pre-tokens such as 's).
-_PLAIN_WORD = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
-#: What normal form C joins to the character before it lies from U+0300 on.
-_MAY_COMPOSE = re.compile("[^\x00-\u02ff]")
+#: ASCII marks but the apostrophe, which begins pre-tokens such as 's.
+_MARKS = "".join(chr(b) for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27)
+_ONLY_MARKS = re.compile(b"[" + re.escape(_MARKS).encode() + b"]+")
+#: Letters of Latin-1 that lower-casing and normal form C leave as they are.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Last bytes of Latin-1's letters beyond ASCII, all of two bytes and a first one of C3.
+_LATIN = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+_ALNUM = np.array([chr(b).isalnum() and b < 0x80 for b in range(256)])
 
 
 def _splits_plain_words(spec: dict) -> bool:
@@ -58,11 +67,21 @@ def _splits_plain_words(spec: dict) -> bool:
     )
 
 
+def _gathered(table: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of table that index names, one after the other, and the size of each; table: runs of size."""
+    start, sizes = np.cumsum(size) - size, size[index]
+    shift = np.repeat(start[index] - np.cumsum(sizes) + sizes, sizes)
+    shift += np.arange(len(shift), dtype=shift.dtype)
+    return table[shift], sizes
+
+
 class WordBpe:
-    """Texts to ids by the tokenizers library, one call for each word not met before.
+    """Texts to ids by the tokenizers library, one call for each part of a word not met before.
 
     The vocabulary's normaliser and pre-tokeniser never join characters over white space, so a
-    text's ids are those of its parts between ASCII white space, in order."""
+    text's ids are those of its words, in order; and ASCII marks at a word's end are a pre-token
+    of their own where a letter or digit stands before them. Words and then their parts are
+    numbered by Arrow; only distinct parts are looked up, and ids are gathered by number."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,48 +90,77 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.splits = _splits_plain_words(json.loads(self.tokenizer.to_str()))
+        self.letters = dict(enumerate(byte_letters()))
         self.cache: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
 
-    def _encoded(self, parts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+    def _one_pre_token(self, part: bytes) -> bytes | None:
+        """part, lower-cased, if it is sure to be one pre-token: marks, or letters of Latin-1."""
+        if part.isalpha():
+            return part.lower()
+        if _ONLY_MARKS.fullmatch(part):
+            return part
+        try:
+            low = part.decode().encode("latin-1").decode("latin-1").lower()
+        except UnicodeEncodeError:
+            return None
+        return low.encode() if _LETTERS.fullmatch(low) else None
 
     def _new(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of parts. The letters and the marks of a plain word are a pre-token each, as they
-        stand, so the library's model alone has their ids, without a whole Encoding for each."""
-        out, direct, stems = {}, [], self.stems
-        tokenize = self.tokenizer.model.tokenize
+        """Ids of parts. Of a pre-token the library's model alone has the ids, from its bytes as
+        letters, without an Encoding for each."""
+        out, direct, tokenize = {}, [], self.tokenizer.model.tokenize
         for p in parts:
-            m = _PLAIN_WORD.fullmatch(p.lower()) if self.splits else None
-            if not m:
+            one = self._one_pre_token(p) if self.splits else None
+            if one is None:
                 direct.append(p)
-                continue
-            a, b = m.groups()
-            for x in (a, b) if b else (a,):
-                if x not in stems:
-                    stems[x] = array("I", [t.id for t in tokenize(x.decode())]).tobytes()
-            out[p] = stems[a] + stems[b] if b else stems[a]
-        out.update(zip(direct, self._encoded(direct), strict=True))
-        if len(stems) > CACHED:
-            stems.clear()
+            else:
+                out[p] = array("I", [t.id for t in tokenize(one.decode("latin-1").translate(self.letters))]).tobytes()
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in direct], add_special_tokens=False)
+        out.update((p, array("I", x.ids).tobytes()) for p, x in zip(direct, found, strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        # Where nothing can compose with a letter, A-Z may be lower-cased first: fewer words are new.
-        low = [self.splits and not _MAY_COMPOSE.search(t) for t in texts]
-        split = [(t.encode().lower() if x else t.encode()).split() for t, x in zip(texts, low, strict=True)]
-        parts = list(chain.from_iterable(split))
+    def _looked_up(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts."""
         ids = list(map(self.cache.get, parts))
         if None in ids:
-            found = self._new(list({p for p, i in zip(parts, ids, strict=True) if i is None}))
+            found = self._new([p for p, i in zip(parts, ids, strict=True) if i is None])
             ids = [found[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
             if len(self.cache) > CACHED:
                 self.cache.clear()
             self.cache.update((p, i) for p, i in found.items() if len(p) <= CACHED_BYTES)
-        rest = iter(ids)
-        return [b"".join(islice(rest, len(p))) for p in split]
+        return ids
+
+    def _parts(self, words: pa.Array) -> pa.Array:
+        """Two parts of each word, in turn: what stands before its marks, and the marks; or the word and nothing."""
+        if self.splits:  # A-Z is lower-cased anyway, and in ASCII nothing composes
+            words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        data, at = flat(words)
+        cut = at[1:].copy()
+        if self.splits and len(data):
+            stem = pc.binary_length(pc.ascii_rtrim(words, characters=_MARKS)).to_numpy()
+            last, before = data[at[:-1] + np.maximum(stem, 1) - 1], data[at[:-1] + np.maximum(stem, 2) - 2]
+            ends = (stem == 0) | _ALNUM[last] | (_LATIN[last] & (before == 0xC3) & (stem > 1))
+            cut = np.where(ends, at[:-1] + stem, cut)
+        ends = np.zeros(2 * len(words) + 1, np.int32)
+        ends[1::2], ends[2::2] = cut, at[1:]
+        return pa.Array.from_buffers(pa.binary(), 2 * len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+    def encode_column(self, texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with end behind it, and the n + 1 offsets of the texts."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        parts = self._parts(words.dictionary).dictionary_encode()
+        known = self._looked_up(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        table, sizes = _gathered(np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4, parts.indices.to_numpy())
+        table, sizes = np.r_[table, np.array(end, "<u4")], np.r_[sizes.reshape(-1, 2).sum(1), len(end)]
+        last = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        ids, sizes = _gathered(table, sizes, np.insert(words.indices.to_numpy(), last, len(sizes) - 1))
+        return ids, np.r_[0, np.cumsum(sizes)[last + np.arange(len(last))]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @cache
@@ -134,13 +182,12 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     dealt = (one.repartitionByRange(partitions, *by) if partitions else one.repartitionByRange(*by)).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = loaded(vocabulary), array("I", [end_id]).tobytes()
+        bpe = loaded(vocabulary)
         for batch in batches:
-            for part in text_slices(batch):
-                ids = [x + end for x in bpe.encode(part.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
+            for part in text_slices(batch, limit=ENCODE_BYTES):
+                ids, at = bpe.encode_column(part.column("text"), (end_id,))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), lists], ["doc_id", "n_tokens", "ids"])
 
     (
         dealt.drop("tie")
