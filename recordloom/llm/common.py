@@ -95,3 +95,20 @@ def mapped(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], sc
 def sorted_join(values: Column) -> Column:
     """Distinct strings of an array, sorted and comma-joined."""
     return F.array_join(F.array_sort(F.array_distinct(values)), ",")
+
+
+def bitmap(values: DataFrame, column: str, n: int, each: int, least: int, most: int) -> bytes:
+    """Bits of a column of longs, each bits for each of its n values, from least to most bits in all; at most
+    most / 64 numbers reach the driver, whatever n is."""
+    size = min(most, max(least, 1 << (each * n).bit_length()))
+    at, v = F.expr(f"cast(pmod({column}, {size}) / 64 as int)"), F.expr(f"shiftleft(1L, cast(pmod({column}, {size}) % 64 as int))")
+    rows = values.select(at.alias("at"), v.alias("v")).groupBy("at").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[rows["at"].to_numpy()] = rows["v"].to_numpy()
+    return out.tobytes()
+
+
+def marked(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which 64-bit values have their bit in a bitmap."""
+    at = (values & np.uint64(64 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1

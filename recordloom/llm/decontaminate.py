@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, keyed, picked, stored, text_slices
+from .common import bitmap, fresh, keyed, marked, picked, stored, text_slices
 from .textvec import ALNUM, FOLD, Hasher, flat, grams, runs, winnow
 
 WINDOW, K = 10, 5
@@ -70,31 +70,17 @@ def _item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(windows, "benchmark-index"), stored(rows.select("n", F.explode("fps").alias("fp")).distinct(), "benchmark-fps")
 
 
-def _bitmap(fps: DataFrame, n: int) -> bytes:
-    """Bits for n fingerprints; at most MOST_BITS / 64 numbers reach the driver, whatever the benchmark's size."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n).bit_length()))
-    bit = F.pmod(F.col("fp"), F.lit(size))
-    rows = fps.select((bit / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(fp, {size}) % 64 as int))").alias("v")).groupBy("at").agg(F.bit_or("v").alias("v")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[rows["at"].to_numpy()] = rows["v"].to_numpy()
-    return out.tobytes()
-
-
 def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, at, n, items) for each occurrence of a benchmark window, and docs' (doc_id, key, n_words).
 
     docs: doc_id, text, key; items: doc_id, text."""
     windows, fps = _item_windows(items)
     sizes = {r["n"]: r["count"] for r in fps.groupBy("n").count().collect()}  # WINDOW rows at most
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(fps, sum(sizes.values())))
+    bits_sent = docs.sparkSession.sparkContext.broadcast(bitmap(fps, "fp", sum(sizes.values()), BITS_EACH, LEAST_BITS, MOST_BITS))
     short = sorted(n for n in sizes if n < WINDOW)
 
-    def passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        at = (h & np.uint64(64 * len(bits) - 1)).astype(np.int64)
-        return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint64)
+        bits = np.frombuffer(bits_sent.value, np.uint64)
         for batch in batches:
             for part in text_slices(batch):
                 folded, words, hashes = _word_table(part.column("text"))
@@ -103,13 +89,13 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
                 found = []  # (first word of a candidate window, its words, fingerprint)
                 h, at = grams(hashes, row, K)
                 chosen = winnow(h, row[at], GAP)
-                chosen = chosen[passing(h[chosen], bits)]
+                chosen = chosen[marked(h[chosen], bits)]
                 for p, fp in zip(at[chosen].tolist(), h[chosen].view(np.int64).tolist(), strict=True):
                     r = row[p]
                     found += [(first, WINDOW, fp) for first in range(max(int(bounds[r]), p - GAP + 1), min(p, int(bounds[r + 1]) - WINDOW) + 1)]
                 for n in short:
                     h, at = grams(hashes, row, n)
-                    ok = passing(h, bits)
+                    ok = marked(h, bits)
                     found += zip(at[ok].tolist(), [n] * int(ok.sum()), h[ok].view(np.int64).tolist(), strict=True)
                 first = np.array([f[0] for f in found], np.int64)
                 keys = part.column("key")

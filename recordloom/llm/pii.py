@@ -1,16 +1,19 @@
 """Personal data: candidate spans and boosted trees. DataFrame functions only.
 
 Base kinds (email, ip, card, phone) are found by their patterns and checks. High-recall generators
-propose more spans, overlapping ones too. Each candidate has discrete format and context features;
-all candidates of the corpus are counted by feature vector and fold, a table no longer than the
-feature space, and trees are boosted on these counts, the same as on the candidates one by one.
-Training marks are weak ones: a candidate is positive if it covers an accepted base span, or, for
-secrets, if a key word and an assignment stand before it; the trees don't see the context that made
-a mark. On the held-out fold each kind gets the least score at which precision reaches PRECISION;
-a kind without such a score adds nothing. Candidates above it that touch no base span are added.
+propose more spans, overlapping ones too, and secrets. Each candidate has discrete format and context
+features; all candidates of the corpus are counted by feature vector and fold, a table no longer than
+the feature space, and trees are boosted on these counts, the same as on the candidates one by one.
+Training marks are weak ones: a candidate is positive if it covers an accepted base span, or if a
+word of its kind's (CONTEXT) stands right before it, for secrets with an assignment; the trees don't
+see the words that make a mark. Limits are set on candidates that touch no base span, since only these can be
+added: scored by trees that didn't learn from their fold, each kind gets the least score at which
+precision reaches PRECISION, midway to the next lower one; a kind without such a score adds nothing.
+Candidates above it that touch no base span are added.
 
 Positions are code points, ends exclusive. Defined cases: null and empty texts have no spans;
-repeated rows each get their row; without candidates nothing is learnt and nothing added.
+repeated rows each get their row; without candidates nothing is learnt and nothing added; equal
+spans of a kind are one; added spans of a kind may overlap those of another.
 """
 
 from __future__ import annotations
@@ -32,16 +35,23 @@ BASE = {
 }
 #: Generators: wide patterns whose matches may overlap each other and base spans.
 WIDE = {
-    "email": "(?<![^\\s@])[^\\s@]++@[^\\s@]++",
+    "email": "(?<![^\\s@])[^\\s@]++@[^\\s@]++|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\\x20?[\\[(](?:at|AT)[\\])]\\x20?[A-Za-z0-9-]++(?:\\x20?(?:\\.|[\\[(](?:dot|DOT)[\\])])\\x20?[A-Za-z0-9-]++)++",
     "ip": "(?<![0-9.])[0-9]++(?:\\.[0-9]++){2,}+",
     "card": "(?<![0-9])[0-9](?:[\\x20.-]{0,2}[0-9]){11,}+",
     "phone": "(?<![0-9])\\+?\\(?[0-9](?:[\\x20().-]{0,3}[0-9]){6,14}+(?![0-9])",
     "secret": "(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
 }
-_KEY = "(?i)(?:token|secret|passw|api.?key|credential)"
-FEATURES = ("kind", "digits", "length", "plus", "dots", "seps", "mixed", "check", "word", "edge")
+#: Words before a candidate that mark it, up to its begin.
+CONTEXT = {
+    "email": "(?i)(?:e-?mail|mailto|contact|write to)[^A-Za-z0-9]{0,4}$",
+    "ip": "(?i)(?:host|server|addr(?:ess)?|\\bip)[^A-Za-z0-9]{0,4}$",
+    "card": "(?i)(?:card|visa|mastercard|amex|iban|account)(?:\\x20?(?:no|number|nr)\\.?)?[^A-Za-z0-9]{0,4}$",
+    "phone": "(?i)(?:call|phone|tel|fax|mobile|cell)(?:\\x20?(?:no|number|nr)\\.?)?[^A-Za-z0-9]{0,4}$",
+    "secret": "(?i)(?:token|secret|passw(?:or)?d|api.?key|credentials?)[\"'`]?\\s*[=:]\\s*[\"'`]?$",
+}
+FEATURES = ("kind", "digits", "length", "plus", "dots", "seps", "mixed", "check", "opened", "edge")
 ROUNDS, DEPTH, RATE = 20, 3, 0.3
-PRECISION, HELD_OUT = 0.95, 5
+PRECISION, FOLDS = 0.99, 5
 _CHUNK = 256
 
 
@@ -96,7 +106,6 @@ def _features(kind: str, c: Column) -> list[Column]:
     m, before = c["m"], c["before"]
     n = F.length(digits(m))
     flag = lambda x: x.cast("int")
-    word = "(?i)(?:mail|contact|@)" if kind == "email" else "(?i)(?:card|visa|iban|account|pay)" if kind == "card" else "(?i)(?:call|phone|tel|fax|mobile)" if kind == "phone" else "(?i)(?:host|server|addr|ip)" if kind == "ip" else "[\"'`]$"
     return [
         F.lit(KINDS.index(kind)),
         F.when(n < 7, F.floor(n / 3)).when(n < 20, n - 4).otherwise(16).cast("int"),
@@ -106,13 +115,13 @@ def _features(kind: str, c: Column) -> list[Column]:
         F.least(F.length(F.regexp_replace(m, "[^ ()-]", "")), F.lit(4)),
         flag(m.rlike("[A-Za-z]") & (n > 0)) + flag(m.rlike("^[0-9a-f]+$")),
         flag(n.between(14, 19) & F.when(n.between(14, 19), luhn(digits(m))).otherwise(False)) if kind == "card" else F.lit(0),
-        flag(before.rlike(word)),
+        flag(before.rlike("[\"'`<(\\[]$")),
         flag(before.rlike("[A-Za-z0-9]$")) if kind != "email" else flag(m.rlike("[.,;:)]$")),
     ]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (array<start, end, kind>), wide (array<start, end, features..., mark, fold>), stored."""
+    """doc_id, base (array<start, end, kind>), wide (array<start, end, features..., mark, free, fold>), stored."""
     rows = picked(docs, id_col, text_col)
     text = F.col("text")
     found = rows.select("doc_id", *(spans(text, p).alias(f"b_{k}") for k, p in BASE.items()), *(spans(text, p).alias(f"w_{k}") for k, p in WIDE.items()))
@@ -125,11 +134,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def wide(kind: str) -> Column:
         def one(c: Column) -> Column:
-            if kind == "secret":
-                mark = c["before"].rlike(_KEY) & c["before"].rlike("[=:]\\s*[\"'`]?$")
-            else:
-                mark = F.exists("base", lambda b: (b["kind"] == KINDS.index(kind)) & (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
-            return F.struct(c["start"].alias("start"), c["end"].alias("end"), *(f.alias(n) for n, f in zip(FEATURES, _features(kind, c), strict=True)), mark.cast("int").alias("mark"), F.pmod(F.xxhash64(c["m"]), F.lit(HELD_OUT)).cast("int").alias("fold"))
+            near = F.filter("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+            covers = F.exists(near, lambda b: (b["kind"] == KINDS.index(kind)) & (b["start"] >= c["start"]) & (b["end"] <= c["end"]))
+            mark = c["before"].rlike(CONTEXT[kind]) | covers
+            return F.struct(c["start"].alias("start"), c["end"].alias("end"), *(f.alias(n) for n, f in zip(FEATURES, _features(kind, c), strict=True)), mark.cast("int").alias("mark"), (F.size(near) == 0).alias("free"), F.pmod(F.xxhash64(c["m"]), F.lit(FOLDS)).cast("int").alias("fold"))
 
         return F.transform(f"w_{kind}", one)
 
@@ -171,7 +179,11 @@ class Trees:
         return np.where(x[:, tree[0]] <= tree[1], self._value(tree[2], x), self._value(tree[3], x))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.start + sum(self._value(t, x) for t in self.trees)
+        """In the order of column(), so that both give the same floating-point number."""
+        out = np.full(len(x), self.start)
+        for t in self.trees:
+            out = out + self._value(t, x)
+        return out
 
     def column(self, of: list[Column]) -> Column:
         """The score as a Spark expression."""
@@ -186,28 +198,27 @@ class Trees:
 
 
 def fit(found: DataFrame) -> tuple[Trees, dict[int, float]] | None:
-    """Trees and thresholds by kind; the rows that reach the driver are cells of the feature space."""
-    cells = found.select(F.explode("wide").alias("c")).groupBy(*(F.col(f"c.{f}").alias(f) for f in (*FEATURES, "fold"))).agg(F.sum("c.mark").alias("positive"), F.count("*").alias("total")).orderBy(*FEATURES, "fold").collect()
+    """Trees and limits by kind; the rows that reach the driver are cells of the feature space."""
+    cells = found.select(F.explode("wide").alias("c")).groupBy(*(F.col(f"c.{f}").alias(f) for f in (*FEATURES, "fold", "free"))).agg(F.sum("c.mark").alias("positive"), F.count("*").alias("total")).orderBy(*FEATURES, "fold", "free").collect()
     if not cells:
         return None
     x = np.array([[r[f] for f in FEATURES] for r in cells], np.int64)
-    positive, total, fold = (np.array([r[n] for r in cells], np.float64) for n in ("positive", "total", "fold"))
-    train = fold != 0
-    if not train.any():
-        return None
-    trees = Trees(x[train], positive[train], total[train])
+    positive, total = (np.array([r[n] for r in cells], np.float64) for n in ("positive", "total"))
+    fold, free = np.array([r["fold"] for r in cells]), np.array([r["free"] for r in cells])
+    score = np.full(len(x), -np.inf)
+    for k in range(FOLDS):
+        if (fold == k).any() and (fold != k).any():
+            score[fold == k] = Trees(x[fold != k], positive[fold != k], total[fold != k]).scores(x[fold == k])
     limits = {}
     for kind in range(len(KINDS)):
-        at = np.flatnonzero((x[:, 0] == kind) & ~train)
-        if not len(at):
-            continue
-        score = trees.scores(x[at])
-        for limit in np.unique(score):
-            over = score >= limit
+        at = np.flatnonzero((x[:, 0] == kind) & free & np.isfinite(score))
+        steps = np.unique(score[at])
+        for n, limit in enumerate(steps):
+            over = score[at] >= limit
             if positive[at][over].sum() >= PRECISION * total[at][over].sum():
-                limits[kind] = float(limit)
+                limits[kind] = float((limit + steps[n - 1]) / 2) if n else float(limit)
                 break
-    return trees, limits
+    return Trees(x, positive, total), limits
 
 
 def _listed(items: Column) -> Column:
@@ -216,7 +227,8 @@ def _listed(items: Column) -> Column:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans (kind:start:end by start, then kind); one row for each row of docs."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans (kind:start:end by start, then kind), n_spans and n_added
+    (spans in all, and those that the trees add); one row for each row of docs."""
     found = candidates(docs, id_col, text_col)
     model = fit(found)
     by_kind = lambda x: F.transform(x, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
@@ -229,12 +241,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             limit = F.lit(None).cast("double")
             for kind, least in limits.items():
                 limit = F.when(c["kind"] == kind, F.lit(least)).otherwise(limit)
-            free = ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-            return F.coalesce(free & (trees.column([c[f] for f in FEATURES]) >= limit), F.lit(False))
+            return F.coalesce(c["free"] & (trees.column([c[f] for f in FEATURES]) >= limit), F.lit(False))
 
-        extra = by_kind(F.filter("wide", good))
+        extra = F.array_distinct(by_kind(F.filter("wide", good)))
     count = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == KINDS.index(kind))).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), _listed(base).alias("base_spans"), _listed(F.array_distinct(F.concat(base, extra))).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), _listed(base).alias("base_spans"), _listed(F.concat(base, extra)).alias("spans"), F.size(F.concat(base, extra)).cast("long").alias("n_spans"), F.size(extra).cast("long").alias("n_added"))
 
 
 def redacted(text: Column, listed: Column) -> Column:

@@ -122,28 +122,33 @@ def long_grams(words: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix((sums[at + k] - sums[at]) * _power(_ODD_INVERSE, len(sums))[at] + np.uint64(k)), at
 
 
+def _sliding(values: np.ndarray, window: int, best: np.ufunc) -> np.ndarray:
+    """best of every window consecutive values, in a time that grows with the logarithm of window."""
+    size = 1
+    while 2 * size <= window:
+        values = best(values[:-size], values[size:])
+        size *= 2
+    return best(values[: len(values) - (window - size)], values[window - size :]) if size < window else values
+
+
 def winnow(hashes: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
-    """Indices of the leftmost minimum of every window of consecutive hashes of a row. A row with
-    fewer hashes than a window has one window, all of them."""
+    """Indices of the minima of every window of consecutive hashes of a row, all of them on a tie. A row
+    with fewer hashes than a window has one window, all of them."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
     begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     sizes = np.diff(np.r_[begins, n])
-    chosen = []
+    keep = np.zeros(n, bool)
     if n >= window:
-        at = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
-        best = np.zeros(len(at), np.int64)
-        least = hashes[at]
-        for j in range(1, window):
-            other = hashes[at + j]
-            less = other < least
-            least = np.where(less, other, least)
-            best[less] = j
-        chosen.append(at + best)
-    for b, size in zip(begins[sizes < window], sizes[sizes < window], strict=True):
-        chosen.append(np.array([b + int(np.argmin(hashes[b : b + size]))]))
-    return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        # The largest of the minima of the windows that hold a place is its own hash if it is the least of one.
+        least = _sliding(hashes, window, np.minimum)
+        least[row[: n - window + 1] != row[window - 1 :]] = 0
+        edge = np.zeros(window - 1, np.uint64)
+        keep = _sliding(np.concatenate([edge, least, edge]), window, np.maximum) == hashes
+    for b, size in zip(begins[sizes < window].tolist(), sizes[sizes < window].tolist(), strict=True):
+        keep[b : b + size] = hashes[b : b + size] == hashes[b : b + size].min()
+    return np.flatnonzero(keep)
 
 
 def per_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:

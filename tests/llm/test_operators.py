@@ -323,18 +323,63 @@ def test_pii(docs, rows, empty):
     assert pii.detect(empty).count() == 0
 
 
-def test_pii_trees_learn_held_out(spark):
-    rng = np.random.default_rng(5)
-    text = [f"word call {'+' if i % 2 else ''}{rng.integers(1, 9)}{' ' if i % 2 else ''}{rng.integers(10**9, 10**10 - 1)} end {rng.integers(10, 99)}" for i in range(600)]
-    found = pii.candidates(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"))
+def spans_by_python(docs):
+    """spans of detect(), with the trees and the limits applied in Python to the candidates."""
+    found = pii.candidates(docs)
     trees, limits = pii.fit(found)
-    kind = pii.KINDS.index("phone")
-    cells = found.selectExpr("explode(wide) c").where(f"c.fold = 0 and c.kind = {kind}").collect()
-    over = [r["c"]["mark"] for r in cells if trees.scores(np.array([[r["c"][f] for f in pii.FEATURES]]))[0] >= limits[kind]]
-    assert len(over) > 10 and sum(over) >= pii.PRECISION * len(over)
-    assert sum(over) >= 0.9 * sum(r["c"]["mark"] for r in cells)
-    column = spark.createDataFrame([tuple(int(r["c"][f]) for f in pii.FEATURES) for r in cells], list(pii.FEATURES)).select(trees.column([F.col(f) for f in pii.FEATURES]).alias("s")).collect()
-    assert [r["s"] for r in column] == pytest.approx([trees.scores(np.array([[r["c"][f] for f in pii.FEATURES]]))[0] for r in cells])
+    out, added = Counter(), Counter()
+    for r in found.collect():
+        base = {(b["start"], b["kind"], b["end"]) for b in r["base"]}
+        extra = set()
+        for c in r["wide"]:
+            free = all(c["end"] <= s or e <= c["start"] for s, _, e in base)
+            assert free == c["free"]
+            if free and c["kind"] in limits and trees.scores(np.array([[c[f] for f in pii.FEATURES]]))[0] >= limits[c["kind"]]:
+                extra.add((c["start"], c["kind"], c["end"]))
+        for x in extra:
+            added[pii.KINDS[x[1]]] += 1
+        out[r["doc_id"], ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base | extra)), len(base | extra), len(extra)] += 1
+    return out, added
+
+
+def pii_texts():
+    """Texts with personal data in forms that the base patterns miss, some after a word that marks them, and look-alikes."""
+    rng = np.random.default_rng(5)
+    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    w = lambda k: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(k))
+    forms = {
+        "phone": lambda: f"({n(3)}) {n(3)}-{n(4)}", "email": lambda: f"{w(1)} [at] {w(1)} [dot] com",
+        "secret": lambda: "".join(rng.choice(list("0123456789abcdef"), 40)), "card": lambda: f"{n(4)}.{n(4)}.{n(4)}.{n(4)}",
+    }
+    marks = {"phone": "call ", "email": "contact: ", "secret": "api_key = '", "card": "card no. "}
+    texts, want = [], Counter()
+    for i in range(400):
+        parts = [w(8)]
+        for kind, form in forms.items():
+            if rng.random() < 0.3:
+                parts += [marks[kind] + form() + ("'" if kind == "secret" else "")]
+                want[kind] += 1
+            parts += [w(3)]
+        parts += [n(8), "pppppppppp" * 3, w(2), f"a{n(9)}b", w(1)]
+        texts.append((i, " ".join(parts)))
+    return texts, want
+
+
+def test_pii_added_spans(spark, docs):
+    """What the trees add is what they add in Python, of several kinds, at a recall and a precision of 0.9 or more, look-alikes aside."""
+    texts, want = pii_texts()
+    made = spark.createDataFrame(texts, "doc_id long, text string")
+    columns = ("doc_id", "spans", "n_spans", "n_added")
+    by_hand, added = spans_by_python(made)
+    assert got(pii.detect(made), *columns) == by_hand
+    assert set(added) >= {"phone", "email", "secret", "card"}
+    assert all(0.9 * want[k] <= added[k] <= want[k] / 0.9 for k in want), (added, want)
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by_hand, added = spans_by_python(real)
+    assert got(pii.detect(real), *columns) == by_hand
+    secrets = Counter((r["doc_id"], f"secret:{m.start(1)}:{m.end(1)}") for r in real.collect() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r["text"] or ""))
+    found = Counter((r["doc_id"], s) for r in pii.detect(real).collect() for s in r["spans"].split(",") if s.startswith("secret"))
+    assert secrets and secrets == found
 
 
 def test_redacted(spark):
@@ -410,6 +455,55 @@ def test_patience():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
 
 
+def test_chain_dedup_rows_of_one_id_and_of_none(spark):
+    """Equal ids with several texts don't mix, null ids are members of classes, and words are counted without blanks at the ends."""
+    rng = np.random.default_rng(9)
+    one, two, three, short = prose(rng, 80), prose(rng, 90), prose(rng, 70), prose(rng, 48)
+    rows = [(1, " ".join(one + prose(rng, 40))), (1, " ".join(two + prose(rng, 300))), (2, " ".join(prose(rng, 10) + one)), (3, " ".join(prose(rng, 20) + two))]
+    rows += [(None, " ".join(three)), (7, " ".join(three)), (8, f"  {' '.join(short)}  "), (9, f"  {' '.join(short)}  "), (None, None), (None, "")]
+    found = chain_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {(1, 0, 80, 2, 10, 90), (2, 10, 90, 1, 0, 80), (1, 0, 90, 3, 20, 110), (3, 20, 110, 1, 0, 90), (None, 0, 70, 7, 0, 70), (7, 0, 70, None, 0, 70)}
+    assert {(r["doc_id"], r["start"], r["end"], r["partner_id"], r["partner_start"], r["partner_end"]) for r in found} == want and len(found) == 6
+
+
+def planted(rng, share, words, others):
+    """Two texts with a passage of so many words, a share of them other words in the second, and others that hold parts of it."""
+    one = prose(rng, words)
+    two = [w if keep else x for w, x, keep in zip(one, prose(rng, words), rng.random(words) >= share, strict=True)]
+    texts = [prose(rng, 60) + one + prose(rng, 60), prose(rng, 30) + two + prose(rng, 90)]
+    for _ in range(others):
+        n = int(rng.integers(20, 40))
+        at = int(rng.integers(0, words - n + 1))
+        texts.append(prose(rng, 50) + one[at : at + n] + prose(rng, 50))
+    return [" ".join(t) for t in texts]
+
+
+def test_chain_dedup_recall_of_changed_passages(spark):
+    """Share of planted pairs linked, by identity, length and the number of other texts that hold parts of the passage (README)."""
+    rng = np.random.default_rng(21)
+    cases = {(0.1, 60, 0): 0.9, (0.15, 200, 0): 0.95, (0.05, 60, 4): 0.9, (0.05, 60, 16): 0.6, (0.0, 61, 16): 1.0}
+    rows, pairs = [], {}
+    for case in cases:
+        for _ in range(30):
+            texts = planted(rng, *case)
+            pairs.setdefault(case, []).append((len(rows), len(rows) + 1))
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    link = {}
+    for r in chain_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        link.setdefault(r["doc_id"], set()).add(r["partner_id"])
+
+    def reached(a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            new = link.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        return b in seen
+
+    found = {case: sum(reached(a, b) for a, b in ps) / len(ps) for case, ps in pairs.items()}
+    assert all(found[case] >= least for case, least in cases.items()), found
+
+
 def chains_brute(i, j):
     both = sorted(set(zip(i, j)))
     score = {}
@@ -444,7 +538,8 @@ def test_chain_dedup(spark, docs, rows, empty):
     found = chain_dedup.repeated(more).collect()
     assert {r["doc_id"] for r in found} == set(range(20))
     assert all(r["end"] - r["start"] >= 60 for r in found)
-    assert len(found) <= 6 * 20
+    # Fewer rows than pairs: a seed of more than RARE texts meets two of them.
+    assert len(found) < 20 * 19 / 2
     assert chain_dedup.repeated(empty).count() == 0
 
 
