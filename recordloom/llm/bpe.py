@@ -3,7 +3,8 @@
 The model is serialised field by field: one piece for each token, its bytes mapped to printable
 characters, scored by negative rank, under identity normalisation. Sentencepiece then merges the
 pair of the best score first, leftmost on a tie, which is byte-level BPE. As in rank-based
-encoders, a pre-token that is itself in the vocabulary is one token without merging.
+encoders, a pre-token that is itself in the vocabulary is one token without merging. Decoding takes
+the model's pieces by id and maps their characters back to bytes.
 
 Defined cases: null or empty texts have no tokens; texts of any length are encoded whole; equal
 rows give equal results; an empty table gives an empty table.
@@ -92,6 +93,10 @@ class ByteBpe:
         self.unit = _UNIT if pattern == public_tokenizers.PATTERN else None
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
         self.letters = dict(enumerate(byte_letters()))
+        #: Pieces as the model has them, in two bytes a character, and the byte of each character.
+        self.pieces = [self.model.id_to_piece(i).encode("utf-16-le") for i in range(len(self.tokens))]
+        self.inverse = np.zeros(0x200, np.uint8)
+        self.inverse[[ord(c) for c in byte_letters()]] = np.arange(256)
         self.units: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
@@ -129,8 +134,9 @@ class ByteBpe:
         return b"".join(self._looked_up(self.cache, self.pattern.findall(text), self._merged))
 
     def decode(self, ids: bytes) -> bytes:
-        """Bytes of the ids' tokens."""
-        return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
+        """Bytes of the ids' pieces, by the inverse mapping."""
+        letters = b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
+        return self.inverse[np.frombuffer(letters, "<u2")].tobytes()
 
 
 _loaded: dict[tuple[str, str], ByteBpe] = {}

@@ -55,8 +55,8 @@ PRECISION, FOLDS = 0.99, 5
 _CHUNK = 256
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<start long, end long, m string, before string>: the pattern's matches in order.
+def spans(text: Column, pattern: str, may: Column | None = None) -> Column:
+    """array<start long, end long, m string, before string>: the pattern's matches in order; none unless may holds.
 
     Positions are running sums over the pieces between matches, in chunks, so that long texts with
     very many matches don't take the square of their number."""
@@ -80,7 +80,8 @@ def spans(text: Column, pattern: str) -> Column:
 
         return F.flatten(F.aggregate(cut, whole, move)["out"])
 
-    return F.when(~text.rlike(pattern), F.array().cast(kind)).otherwise(chunks(sized))
+    some = text.rlike(pattern) if may is None else may & text.rlike(pattern)
+    return F.when(some, chunks(sized)).otherwise(F.array().cast(kind))
 
 
 def digits(m: Column) -> Column:
@@ -122,9 +123,12 @@ def _features(kind: str, c: Column) -> list[Column]:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (array<start, end, kind>), wide (array<start, end, features..., mark, free, fold>), stored."""
-    rows = picked(docs, id_col, text_col)
     text = F.col("text")
-    found = rows.select("doc_id", *(spans(text, p).alias(f"b_{k}") for k, p in BASE.items()), *(spans(text, p).alias(f"w_{k}") for k, p in WIDE.items()))
+    rows = picked(docs, id_col, text_col).withColumns({"at": text.contains("@"), "digit": text.rlike("[0-9]")})
+    # What a match can't do without; most texts have none of it, and the patterns needn't be tried.
+    need = {"email": F.col("at"), "ip": F.col("digit"), "card": F.col("digit"), "phone": F.col("digit")}
+    wide_need = need | {"email": F.col("at") | text.rlike("[\\[(](?:at|AT)[\\])]"), "secret": None}
+    found = rows.select("doc_id", *(spans(text, p, need[k]).alias(f"b_{k}") for k, p in BASE.items()), *(spans(text, p, wide_need[k]).alias(f"w_{k}") for k, p in WIDE.items()))
 
     def kept(kind: str) -> Column:
         good = F.filter(F.col(f"b_{kind}"), lambda c: accepted(kind, c["m"]))

@@ -1,16 +1,17 @@
 """Quality rules from a suffix array: repeated passages inside a document.
 
 For every slice of texts one suffix array over the words of all its documents is built by prefix
-doubling, ranks starting from (document, word), so suffixes of different documents never mix.
-Longest common prefixes of neighbours give the LCP intervals. A word is covered if it lies in a
-repeated substring of min_words or more; the union of those spans is the covered part, the
-largest LCP the longest repeat. A document fails if the covered fraction or the longest repeat
-is over its limit, or a base rule fails (fewer than 50 words, or over half of the words inside
-3-word windows that occur twice or more).
-
-Words are compared by 64-bit hashes. Defined cases: null and empty texts have no words and fail
-(n_words < 50); texts without repeats have no covered words; memory is linear in a slice or in
-one longer text; an empty table gives an empty table.
+doubling, ranks starting from (document, word), so suffixes of different documents never mix. The
+longest common prefixes of neighbours make LCP intervals, each a maximal repeated substring with
+all places where it starts. The union of the spans of those with REPEAT_WORDS words or more is the covered
+part, the largest LCP the longest repeat. A document fails if the covered fraction or the longest
+repeat is over its limit, or a base rule fails (fewer than 50 words, or over half of the words
+inside 3-word windows that occur twice or more).
+
+Words and prefixes are compared by 64-bit hashes. Defined cases: null and empty texts have no words
+and fail (n_words < 50); texts without repeats have no covered words; memory is linear in a slice or
+in one longer text, which is worked on whole; repeated rows each get their result; an empty table
+gives an empty table; columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,24 +23,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, text_slices
+from .common import fresh, picked, text_slices
 from .textvec import GRAPH, NOT_NEWLINE, Hasher, flat, per_row, runs
 
 MIN_WORDS, BASE_WINDOW = 50, 3
 #: A repeated substring counts from so many words; limits on the covered fraction and the longest repeat in words.
 REPEAT_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.3, 150
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
-COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
-
-
-def repeats(words: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """For each position the longest prefix of its suffix that also starts elsewhere in its row, in words.
-
-    That is the larger of the LCPs with the two neighbours in the suffix array."""
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "n_repeats"]
+
+
+def intervals(lcp: np.ndarray, least: int) -> np.ndarray:
+    """(length, first, last) of the LCP intervals of least words or more: suffixes first..last of the array, and no
+    others, begin with the same length words, and not all of them with one more. lcp[i]: of suffixes i and i + 1."""
+    out: list[tuple[int, int, int]] = []
+    open_: list[tuple[int, int]] = []
+    at = np.flatnonzero(lcp >= least)
+    before = -2
+    for i, v in zip(at.tolist(), lcp[at].tolist(), strict=True):
+        if i != before + 1:
+            out += [(size, first, before + 1) for size, first in reversed(open_)]
+            open_ = []
+        first = i
+        while open_ and open_[-1][0] > v:
+            size, first = open_.pop()
+            out.append((size, first, i))
+        if not open_ or open_[-1][0] < v:
+            open_.append((v, first))
+        before = i
+    out += [(size, first, before + 1) for size, first in reversed(open_)]
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def repeats(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array, and the LCP of each suffix and the next one, in words; 0 where their rows differ."""
     n = len(words)
-    best = np.zeros(n, np.int64)
+    lcp = np.zeros(max(n - 1, 0), np.int64)
     if n < 2:
-        return best
+        return np.arange(n), lcp
     row_end = np.searchsorted(row, row, side="right")
     # Prefix hashes for LCPs of neighbours: common length by binary search.
     odd = 0xD6E8FEB86659FD93
@@ -86,9 +107,8 @@ def repeats(words: np.ndarray, row: np.ndarray) -> np.ndarray:
         hit = np.where(shift >= 0, left * power[np.maximum(shift, 0)] == right, right * power[np.maximum(-shift, 0)] == left)
         low = np.where(open_ & hit, mid, low)
         high = np.where(open_ & ~hit, mid - 1, high)
-    np.maximum.at(best, a, low)
-    np.maximum.at(best, b, low)
-    return best
+    lcp[near] = low
+    return order, lcp
 
 
 def covered(length: np.ndarray, least: int) -> np.ndarray:
@@ -108,15 +128,19 @@ def measures(texts: pa.Array) -> list[np.ndarray]:
     words = runs(data, offsets, GRAPH)
     hashes = hasher.ranges(words.start, words.end)
     starts = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-    longest = repeats(hashes, words.row)
+    order, lcp = repeats(hashes, words.row)
+    # The longest repeat that begins at a word is that of the innermost interval which holds its suffix.
+    longest = np.zeros(len(hashes), np.int64)
+    longest[order] = np.maximum(np.r_[0, lcp], np.r_[lcp, 0])[: len(order)]
+    found = intervals(lcp, REPEAT_WORDS)
     base = covered(np.where(longest >= BASE_WINDOW, longest, 0), BASE_WINDOW)
     spans = covered(longest, REPEAT_WORDS)
     lines = runs(data, offsets, NOT_NEWLINE)
     first = np.searchsorted(words.start, lines.start)
     some = first < np.searchsorted(words.start, lines.end)
     line, line_row = hasher.ranges(lines.start[some], lines.end[some]), lines.row[some]
-    order = np.lexsort((line, line_row))
-    again = (line[order][1:] == line[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
+    by = np.lexsort((line, line_row))
+    again = (line[by][1:] == line[by][:-1]) & (line_row[by][1:] == line_row[by][:-1])
     symbols = np.r_[0, np.cumsum(_SYMBOL[data])]
     top = np.zeros(n, np.int64)
     np.maximum.at(top, words.row, longest)
@@ -124,16 +148,17 @@ def measures(texts: pa.Array) -> list[np.ndarray]:
         per_row(np.ones(len(words.row)), words.row, n),
         per_row(starts[words.end] - starts[words.start], words.row, n),
         symbols[offsets[1:]] - symbols[offsets[:-1]],
-        per_row(np.ones(int(again.sum())), line_row[order][1:][again], n),
+        per_row(np.ones(int(again.sum())), line_row[by][1:][again], n),
         per_row(base, words.row, n),
         per_row(spans, words.row, n),
         top,
+        per_row(np.ones(len(found)), words.row[order[found[:, 1]]], n),
     ]
 
 
-def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs as they are, with one more column, struct _q of COLUMNS. A narrow map."""
-    schema = docs.select("*", F.lit(None).cast(f"struct<{','.join(f'{c}:bigint' for c in COLUMNS)}>").alias("_q")).schema
+def with_measures(docs: DataFrame, text_col: str = "text", name: str = "measures") -> DataFrame:
+    """docs as they are, with one more column, a struct of COLUMNS. A narrow map."""
+    schema = docs.select("*", F.lit(None).cast(f"struct<{','.join(f'{c}:bigint' for c in COLUMNS)}>").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,22 +173,22 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def base_failed(q: str = "_q") -> F.Column:
+def base_failed(q: str) -> F.Column:
     """Base rule over the struct of with_measures()."""
     return (F.col(f"{q}.n_words") < MIN_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > 50 * F.col(f"{q}.n_words"))
 
 
-def kept(q: str = "_q") -> F.Column:
+def kept(q: str) -> F.Column:
     """The verdict: the base rule and the method's limits."""
     return ~base_failed(q) & (F.col(f"{q}.covered_words") <= MAX_COVERED * F.col(f"{q}.n_words")) & (F.col(f"{q}.longest_repeat") <= MAX_LONGEST)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, COLUMNS, base_failed, kept; one row for each row of docs."""
-    rows = with_measures(picked(docs, id_col, text_col)).drop("text")
-    return rows.select("doc_id", *(F.col(f"_q.{c}") for c in COLUMNS), base_failed().alias("base_failed"), kept().alias("kept"))
+    rows = with_measures(picked(docs, id_col, text_col), name="q").drop("text")
+    return rows.select("doc_id", *(F.col(f"q.{c}") for c in COLUMNS), base_failed("q").alias("base_failed"), kept("q").alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with their columns; docs may have no column named _q."""
-    return with_measures(docs, text_col).where(kept()).drop("_q")
+    """The rows of docs that are kept, with their columns."""
+    return with_measures(docs, text_col, name := fresh("measures")).where(kept(name)).drop(name)

@@ -11,7 +11,8 @@ spanning forest leave a group, and components come from rounds of minimum labels
 
 Defined cases: no words (null, empty, white space): fingerprint zero, linked like any other; equal
 fingerprints are one class whatever the texts; null ids take part but are never a component's id
-unless all of its ids are null; an empty table gives an empty table.
+unless all of its ids are null; an id may have several texts, rows of their own; an empty table gives
+an empty table; a very long text is hashed whole, in memory of some 50 times its bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, stored, text_slices
+from .common import fresh, picked, stored, text_slices
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: A group of more fingerprints than this is dealt out again by further bits.
@@ -54,16 +55,16 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long. A narrow map."""
-    one = picked(docs, id_col, text_col)
+    """doc_id, sig (hash of the text) and fp, the fingerprint as a signed long. A narrow map."""
+    one = picked(docs, id_col, text_col).withColumn("sig", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
                 fp = np.array([fingerprint(t.as_py()) for t in part.column("text")], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sig"), pa.array(fp)], ["doc_id", "sig", "fp"])
 
-    return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, fp long")
+    return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, sig long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -224,18 +225,38 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, fp; one row for each row of docs."""
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, sig, fp of every row; and fp, root (of its component), component_id."""
     rows = stored(fingerprints(docs, id_col, text_col), "simhash-fps")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(least.select("fp")))
     classes = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = classes.join(ids, "root").select("fp", "component_id")
+    return rows, classes.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, fp; one row for each row of docs."""
+    rows, of = _classed(docs, id_col, text_col)
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; rows of null doc_id stay."""
-    lost = near_duplicates(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(lost, id_col, "left_anti")
+    """docs with one row of each component: that of the least id (null ids last), then of the least hash of its
+    text; of rows that are equal in both, any one. Rows are told apart by id and text, columns stay as they are."""
+    rows, of = _classed(docs, id_col, text_col)
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
+    each = stored(rows.join(of, "fp").groupBy("root", who.alias("who")).agg(F.count("*").alias("n")), "simhash-members")
+    first = each.groupBy("root").agg(F.min("who").alias("least"))
+    told = each.join(first, "root")
+    same = F.col("who").eqNullSafe(F.col("least"))
+    id_, sig = fresh("id"), fresh("sig")
+    key = [F.col("who.doc_id").alias(id_), F.col("who.sig").alias(sig)]
+    text = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    here = F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (text == F.col(sig))
+    kept = docs.join(told.where(~same).select(key), here, "left_anti")
+    twice = stored(told.where(same & (F.col("n") > 1)).select(key), "simhash-twice")
+    if twice.isEmpty():
+        return kept
+    one = kept.join(twice, here, "left_semi").withColumn(sig, text).dropDuplicates([id_col, sig]).drop(sig)
+    return kept.join(twice, here, "left_anti").unionByName(one)

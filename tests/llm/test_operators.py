@@ -184,7 +184,14 @@ def test_simhash(docs, rows, empty):
     assert got(found, "doc_id", "fingerprint", "component_id") == want
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r[0] for r in kept.where("doc_id is not null").select("doc_id").distinct().collect()) == sorted({c for c in least.values() if c is not None} - {None})
+    by_label = {}
+    for (i, t), c in zip(rows, label, strict=True):
+        by_label.setdefault(c, set()).add((i is None, i or 0, t))
+    left = Counter((r["doc_id"], r["text"] or "") for r in kept.collect())
+    assert all(n == 1 for n in left.values()) and len(left) == len(by_label)
+    for (i, t) in left:
+        group = next(g for g in by_label.values() if (i is None, i or 0, t) in g)
+        assert (i is None, i or 0) == min(group)[:2]
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -230,7 +237,15 @@ def repetition_brute(text):
     assert again == cover(3)
     failed = n < 50 or 100 * again > 50 * n
     kept = not failed and cover(repetition.REPEAT_WORDS) <= repetition.MAX_COVERED * n and max(longest, default=0) <= repetition.MAX_LONGEST
-    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), again, cover(repetition.REPEAT_WORDS), max(longest, default=0), failed, kept
+    # Repeated substrings that some two places can't make longer to the right: each is the longest common prefix of two suffixes.
+    shared, code = set(), {w: k for k, w in enumerate(dict.fromkeys(words))}
+    at = np.array([code[w] for w in words], np.int64)
+    for d in range(1, n):
+        same = np.r_[at[:-d] == at[d:], False]
+        end = np.flatnonzero(~same)
+        size = end[np.searchsorted(end, np.arange(n - d))] - np.arange(n - d)
+        shared |= {tuple(words[i : i + size[i]]) for i in np.flatnonzero(size >= repetition.REPEAT_WORDS).tolist()}
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), again, cover(repetition.REPEAT_WORDS), max(longest, default=0), len(shared), failed, kept
 
 
 def test_repetition(docs, rows, empty):
@@ -388,23 +403,54 @@ def test_redacted(spark):
     assert one.select(pii.redacted(F.col("text"), F.lit(spans)).alias("x")).first()["x"] == "é [email], x [ip]"
 
 
+def aligned_brute(a, b):
+    """Places (i, j) of a patience alignment, from its definition: equal ends, then the longest increasing set of
+    lines once in both (by trying all earlier ones as the one before; on a tie the one that ends first in b), then the gaps in the same way."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in aligned_brute(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return aligned_brute(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    if not once:
+        return []
+    best, rank = [], lambda x: (len(x), -x[-1][1])
+    for n, (i, j) in enumerate(once):
+        before = max((best[m] for m in range(n) if once[m][1] < j), key=rank, default=[])
+        best.append([*before, (i, j)])
+    out, p, q = [], 0, 0
+    for i, j in [*max(best, key=rank), (len(a), len(b))]:
+        out += [(p + x, q + y) for x, y in aligned_brute(a[p:i], b[q:j])]
+        out += [(i, j)] if i < len(a) else []
+        p, q = i + 1, j + 1
+    return out
+
+
+def cut_brute(t, u):
+    """Numbers of t's lines in common blocks of five words or more with u, aligned over the lines that both have."""
+    sides = [[(at, no, x) for at, (no, x) in enumerate((n, x) for n, x in enumerate(s.split("\n")) if GRAPH.search(x))] for s in (t, u)]
+    both = {x for _, _, x in sides[0]} & {x for _, _, x in sides[1]}
+    a, b = ([p for p in side if p[2] in both] for side in sides)
+    out, block = set(), []
+    for i, j in [*aligned_brute([x for *_, x in a], [x for *_, x in b]), (None, None)]:
+        if block and (i is None or (a[i][0], b[j][0]) != (a[block[-1][0]][0] + 1, b[block[-1][1]][0] + 1)):
+            if sum(len(GRAPH.findall(a[k][2])) for k, _ in block) >= 5:
+                out |= {a[k][1] for k, _ in block}
+            block = []
+        block.append((i, j))
+    return out
+
+
 def lines_brute(rows):
-    """Deletions by the definition: pairs with first holders, patience alignment of the lines that others hold."""
-    texts = {(i, t) for i, t in rows if i is not None}
-    held = {}
-    for i, t in texts:
-        for x in t.split("\n"):
-            if GRAPH.search(x):
-                held.setdefault(x, set()).add(i)
-    shared = {(i, t): [(a, no, x) for a, (no, x) in enumerate((n, x) for n, x in enumerate(t.split("\n")) if GRAPH.search(x)) if len(held[x]) > 1] for i, t in texts}
+    """Deletions by alignment with all earlier documents that share a line."""
+    texts = sorted({(i, t) for i, t in rows if i is not None})
+    words = {x: {y for y in x[1].split("\n") if GRAPH.search(y)} for x in texts}
     out = {}
-    for (i, t), mine in shared.items():
-        for j, u in texts:
-            if any(min(held[x]) == j != i for _, _, x in mine):
-                one, two = ({"at": [a for a, _, _ in s], "no": [n for _, n, _ in s], "h": [x for _, _, x in s], "words": [len(GRAPH.findall(x)) for _, _, x in s]} for s in (mine, shared[j, u]))
-                cut = line_dedup.common_lines(one, two)
-                if cut:
-                    out.setdefault((i, t), set()).update(cut)
+    for n, x in enumerate(texts):
+        for y in texts[:n]:
+            if y[0] < x[0] and words[x] & words[y] and (cut := cut_brute(x[1], y[1])):
+                out.setdefault(x, set()).update(cut)
     return out
 
 
@@ -435,10 +481,7 @@ def test_line_dedup_pairs_by_runs(spark):
     texts = {k: f"{x}\nonly in {k}" for k, x in enumerate(block)}
     texts |= {20: "\n".join(["begin", *block, "end of twenty"]), 21: "\n".join(["other start", *block, "other end"])}
     texts |= {30: "\n".join([long[1], long[0], long[2]]), 31: "\n".join(["x", *long, "y"]), 32: "\n".join(["z", *long, "w"])}
-    want = {}
-    for d, t in texts.items():
-        side = lambda t: {"at": list(range(len(t))), "no": list(range(len(t))), "h": t, "words": [len(GRAPH.findall(x)) for x in t]}
-        want[d] = sorted({n for e, u in texts.items() if e < d for n in line_dedup.common_lines(side(t.split("\n")), side(u.split("\n")))})
+    want = {d: sorted({n for e, u in texts.items() if e < d for n in cut_brute(t, u)}) for d, t in texts.items()}
     assert want[21] == list(range(1, 8)) and want[32] == [1, 2, 3]
     found = line_dedup.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["deleted"] for r in found} == want
