@@ -294,7 +294,7 @@ def test_mined_rules_are_exact(spark):
     rng = np.random.default_rng(1)
     rows_ = [(i, sorted({f"t{x}" for x in rng.integers(0, 8, 4)}), bool(rng.random() < 0.4)) for i in range(300)]
     rows_ = [(i, t, bad or ("t1" in t and "t2" in t)) for i, t, bad in rows_]
-    mined = {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in url_rules.mine(spark.createDataFrame(rows_, "id long, tokens array<string>, bad boolean"), 0.02, 0.7, 6).collect()}
+    mined = {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in url_rules.mine(spark.createDataFrame(rows_, "id long, tokens array<string>, bad boolean"), 0.02, 0.7, 6, 1.0).collect()}
     from itertools import combinations
 
     sure = {}
@@ -308,6 +308,43 @@ def test_mined_rules_are_exact(spark):
     assert all(any(set(m) < set(s) and sure[m][1] >= sure[s][1] for m in sure) for s in set(sure) - set(mined))
 
 
+def test_url_rules_on_driver_tables(spark):
+    """Rules are mined, and each page that no fixed rule judges is blocked if and only if it has all tokens of one."""
+    sf = "/root/testdata/sf0.1"
+    pages, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "labels"))
+    found = url_rules.judge(pages, labels).collect()
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+
+    def tokens(url):
+        host, path = host_path_brute(url)
+        query = re.match(r"[^?#]*\?([^#]*)", url or "")
+        keys = [re.match("[^=]*", x)[0] for x in re.split("[&;]", query[1])] if query else []
+        return {f"{k}:{x}" for k, part in (("h", host.split(".")), ("p", path.split("/")), ("q", keys)) for x in part if x}
+
+    bad = {r["doc_id"]: r["quality"] == 0 or r["toxic"] == 1 for r in labels.collect()}
+    known = [(tokens(urls[r["page_id"]]), r["verdict"] == "block" if r["rule"] else bad[r["page_id"]]) for r in found if r["rule"] or r["page_id"] in bad]
+    base = sum(b for _, b in known) / len(known)
+    mined = {tuple(r["mined"].split(" ")) for r in found if r["mined"]}
+    assert mined
+    for rule in mined:
+        have = [b for t, b in known if set(rule) <= t]
+        assert sum(have) >= max(url_rules.LEAST, round(url_rules.SUPPORT * len(known))) and sum(have) >= max(url_rules.CONFIDENCE, url_rules.LIFT * base) * len(have)
+    free = [r for r in found if not r["rule"]]
+    assert all((r["verdict"] == "block") == any(set(rule) <= tokens(urls[r["page_id"]]) for rule in mined) for r in free)
+    assert sum(r["verdict"] == "block" for r in free) > 10
+
+
+def test_url_parts(spark):
+    """Of a URL with many tokens every three are together in a part of at most BASKET."""
+    from itertools import combinations
+
+    for n in (3, 12, 13, 16, 21):
+        items = [f"t{k}" for k in range(n)]
+        found = spark.createDataFrame([(items,)], "items array<string>").select(url_rules.parts(F.col("items")).alias("p")).first()["p"]
+        assert all(len(p) <= url_rules.BASKET for p in found)
+        assert all(any(set(c) <= set(p) for p in found) for c in combinations(items, min(3, n)))
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
 
