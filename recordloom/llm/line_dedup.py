@@ -111,9 +111,9 @@ def shared_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
     shared = some.groupBy("doc_id", "sig", "h", "words").agg(F.sort_array(F.collect_list(F.struct("at", "no"))).alias("places"))
     long = F.when(F.col("words") >= min_words, F.struct(F.col("line").alias("key"), F.array("no").alias("cut")))
     run = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("key"), F.col(f"{c}_no").alias("cut")))
-    blocks = lines.select("doc_id", "sig", "at", F.explode(F.array_compact(F.array(long, run("onward"), run("upto")))).alias("b")).select("doc_id", "sig", "at", "b.key", "b.cut")
-    alone = blocks.join(held.where(F.col("n") > RARE), "key").where(later).groupBy("doc_id", "sig", "key").agg(F.min_by("cut", "at").alias("cut"), F.min("first").alias("partner"))
-    return stored(shared, "shared-lines"), pairs, alone.select("doc_id", "sig", "partner", "cut")
+    blocks = lines.select("doc_id", "sig", F.explode(F.array_compact(F.array(long, run("onward"), run("upto")))).alias("b")).select("doc_id", "sig", "b.key", "b.cut")
+    alone = blocks.join(held.where(F.col("n") > RARE), "key").where(later).select("doc_id", "sig", F.col("first").alias("partner"), "cut")
+    return stored(shared, "shared-lines"), pairs, alone
 
 
 def _anchors(a: list[int], b: list[int], count_a: Counter, count_b: Counter) -> list[tuple[int, int]]:

@@ -247,7 +247,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows, of = _classed(docs, id_col, text_col)
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")
     each = stored(rows.join(of, "fp").groupBy("root", who.alias("who")).agg(F.count("*").alias("n")), "simhash-members")
-    first = each.groupBy("root").agg(F.min("who").alias("least"))
+    # Written, so that the join may split a component that holds very many rows.
+    first = stored(each.groupBy("root").agg(F.min("who").alias("least")), "simhash-first")
     told = each.join(first, "root")
     same = F.col("who").eqNullSafe(F.col("least"))
     id_, sig = fresh("id"), fresh("sig")
