@@ -93,11 +93,19 @@ class Framer:
             raise self._bad()
         return None
 
+    def to_root(self) -> None:
+        """Up to the end of the root's tag, as far as the input goes."""
+        for _ in self._taken(only_root=True):
+            pass
+
     def take(self) -> Iterator[tuple[int, int, int, bytes]]:
         """(index, start, end, bytes) of each record that is complete."""
+        return self._taken()
+
+    def _taken(self, only_root: bool = False) -> Iterator[tuple[int, int, int, bytes]]:
         if not self.begun and not self._prolog_start():
             return
-        while not (self.finished and self.lenient):
+        while not (self.finished and self.lenient) and not (only_root and self.root is not None):
             m = self._next()
             if m is None:
                 return
@@ -129,13 +137,14 @@ class Framer:
         elif kind == "start":
             self.root = self._name(token, 1)
             utf8(self.root)
-            self._merge(token)
+            self.merge(token)
             self.depth = 1
             self.finished = token[-2:] == b"/>"
         elif kind != "comment" and not (kind == "text" and not token.strip(SPACE)):
             raise self._bad()
 
-    def _merge(self, tag: bytes) -> None:
+    def merge(self, tag: bytes) -> None:
+        """Take up the namespaces that a tag declares."""
         span = tag[1 + len(self._name(tag, 1)) : -1]
         try:
             self.namespaces |= namespaces(span)
@@ -153,7 +162,7 @@ class Framer:
             self.start = self.at
             self.depth += not closed
         elif self._name(tag, 1) == self.path[self.depth - 1]:
-            self._merge(tag)
+            self.merge(tag)
             self.depth += not closed
         else:
             self.skip = int(not closed)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bulk
 from ..functions.errors import ERROR, XmlError
 from ..functions.events import events as parse
 from ..functions.framing import Framer
@@ -36,22 +37,36 @@ def _emit(rows: Iterable[tuple], fields: list[tuple[str, pa.DataType]]) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def _scan(docs: DataFrame, each: Callable[[object, bytes], Iterator[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
-    """each: (doc_id, content) to rows that end with an error struct or None."""
+def _scan(docs: DataFrame, each: Callable[[object, bytes], Iterator[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str, options: XmlOptions | None = None, at_once: Callable[[bytes, bulk.Framed], list[pa.Array] | None] | None = None) -> DataFrame:
+    """each: (doc_id, content) to rows that end with an error struct or None; at_once: the same rows of a document that bulk
+    can frame, as columns, or None."""
     one = docs.select("doc_id", F.col("content").cast("binary").alias("content"))
     kind = one.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(n for n, _ in fields), "error"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_type: list[pa.DataType] = []
-
-        def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-            for i, content in rows_of(batches):
-                for row in each(i, content):
-                    yield (i, *row)
+    def columns(content: bytes) -> list[pa.Array] | None:
+        try:
+            content = inflated(content)
+        except XmlError:
+            return None
+        found = bulk.framed(content, options.record_path, options.lenient)
+        return None if found is None else at_once(content, found)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_type[:] = [batch.schema.field("doc_id").type]
-            yield from _emit(all_(iter([batch])), [("doc_id", id_type[0]), *fields, ("error", _ERROR)])
+            id_type = batch.schema.field("doc_id").type
+            fields_ = [("doc_id", id_type), *fields, ("error", _ERROR)]
+            rest = []
+            for i, content in rows_of(iter([batch])):
+                found = columns(content) if at_once and len(content) >= bulk.LEAST_BYTES else None
+                if found is None:
+                    rest.append((i, content))
+                    continue
+                n = len(found[0])
+                whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(i, id_type), n), *found, pa.nulls(n, _ERROR)], names)
+                for at in range(0, n, 4 * _BATCH):
+                    yield whole.slice(at, 4 * _BATCH)
+            yield from _emit(((i, *row) for i, content in rest for row in each(i, content)), fields_)
 
     return one.mapInArrow(run, f"doc_id {kind}, {ddl}, error {ERROR}")
 
@@ -87,7 +102,10 @@ def index(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
         if error:
             yield None, None, None, error.row()
 
-    return _checked(_scan(docs, each, _RANGE, _RANGE_DDL), options)
+    def at_once(_: bytes, f: bulk.Framed) -> list[pa.Array]:
+        return [pa.array(range(len(f.first)), pa.int64()), pa.array(f.starts), pa.array(f.ends)]
+
+    return _checked(_scan(docs, each, _RANGE, _RANGE_DDL, options, at_once), options)
 
 
 def records(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
@@ -100,8 +118,18 @@ def records(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
         if error:
             yield None, None, None, None, None, None, error.row()
 
+    def at_once(content: bytes, f: bulk.Framed) -> list[pa.Array] | None:
+        try:
+            content.decode()
+        except UnicodeDecodeError:
+            return None
+        n, starts, ends = len(f.first), f.starts, f.ends
+        xml = pa.array([content[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.string())
+        maps = [pa.repeat(pa.scalar(list(m.items()), _MAP), n) if m else pa.MapArray.from_arrays(pa.array([0] * (n + 1), pa.int32()), *(pa.array([], pa.string()),) * 2) for m in (f.framer.entities, f.framer.namespaces)]
+        return [pa.array(range(n), pa.int64()), pa.array(starts), pa.array(ends), xml, *maps]
+
     fields = [*_RANGE, ("xml", pa.string()), ("entities", _MAP), ("namespaces", _MAP)]
-    return _checked(_scan(docs, each, fields, f"{_RANGE_DDL}, xml string, entities map<string,string>, namespaces map<string,string>"), options)
+    return _checked(_scan(docs, each, fields, f"{_RANGE_DDL}, xml string, entities map<string,string>, namespaces map<string,string>", options, at_once), options)
 
 
 def preludes(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
@@ -111,8 +139,11 @@ def preludes(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
         framer, found, error = framed(content, options)
         yield (*framer.prelude().values(), len(found), error.row() if error else None)
 
+    def at_once(_: bytes, f: bulk.Framed) -> list[pa.Array]:
+        return [pa.array([v], t) for v, (_, t) in zip((*f.framer.prelude().values(), len(f.first)), fields, strict=True)]
+
     fields = [("encoding", pa.string()), ("root_name", pa.string()), ("namespaces", _MAP), ("entities", _MAP), ("n_records", pa.int64())]
-    return _checked(_scan(docs, each, fields, "encoding string, root_name string, namespaces map<string,string>, entities map<string,string>, n_records long"), options)
+    return _checked(_scan(docs, each, fields, "encoding string, root_name string, namespaces map<string,string>, entities map<string,string>, n_records long", options, at_once), options)
 
 
 def counts(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
@@ -136,7 +167,7 @@ def events(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
         if error:
             yield (*[None] * 8, error.row())
 
-    return _checked(_scan(docs, each, [_RANGE[0], *_EVENT], f"rec_index long, {_EVENT_DDL}"), options)
+    return _checked(_scan(docs, each, [_RANGE[0], *_EVENT], f"rec_index long, {_EVENT_DDL}", options, bulk.events), options)
 
 
 def sequential_events(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
@@ -195,7 +226,11 @@ def workload(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
             except XmlError as e:
                 yield i, None, {**e.row(), "rec_index": i}
 
-    return _checked(_scan(docs, each, [_RANGE[0], ("size", pa.int64())], "rec_index long, size long"), options)
+    def at_once(content: bytes, f: bulk.Framed) -> list[pa.Array] | None:
+        size = bulk.sizes(content, f)
+        return None if size is None else [pa.array(range(len(size)), pa.int64()), pa.array(size)]
+
+    return _checked(_scan(docs, each, [_RANGE[0], ("size", pa.int64())], "rec_index long, size long", options, at_once), options)
 
 
 def typed(found: DataFrame, schema: str, keep: list[str | Column] | None = None) -> DataFrame:
