@@ -13,6 +13,7 @@ from ..functions import bulk
 from ..functions.errors import ERROR, XmlError
 from ..functions.events import events as parse
 from ..functions.framing import Framer
+from ..functions.names import PREDEFINED
 from ..plans.options import XmlOptions
 from ..sources.documents import inflated, rows_of
 
@@ -146,6 +147,14 @@ def preludes(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
     return _checked(_scan(docs, each, fields, "encoding string, root_name string, namespaces map<string,string>, entities map<string,string>, n_records long", options, at_once), options)
 
 
+def sized(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
+    """docs in one partition where they have fewer bytes than parallel_threshold or fewer records than min_records, so that one
+    task reads them; else as they are. The rows are the same. Counts bytes, and records where there are bytes enough."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+    few = size < options.parallel_threshold or (counts(docs, options).agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0] < options.min_records)
+    return docs.coalesce(1) if few else docs
+
+
 def counts(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
     """doc_id, n_records, is_empty; documents without records too."""
     return preludes(docs, options).select("doc_id", "n_records", (F.col("n_records") == 0).alias("is_empty"))
@@ -233,9 +242,34 @@ def workload(docs: DataFrame, options: XmlOptions = XmlOptions()) -> DataFrame:
     return _checked(_scan(docs, each, [_RANGE[0], ("size", pa.int64())], "rec_index long, size long", options, at_once), options)
 
 
-def typed(found: DataFrame, schema: str, keep: list[str | Column] | None = None) -> DataFrame:
-    """Columns of a schema from records() by the native XML functions. Custom entities are put in
-    first; character data is what the native reader makes of it (trimmed)."""
-    known = F.expr("aggregate(map_entries(entities), xml, (x, e) -> replace(x, concat('&', e.key, ';'), e.value))")
-    xml = F.when(F.size("entities") > 0, known).otherwise(F.col("xml"))
-    return found.select(*(keep or ["doc_id", "rec_index"]), F.from_xml(xml, schema).alias("r")).select(*(keep or ["doc_id", "rec_index"]), "r.*")
+def expanded(xml: Column, entities: Column) -> Column:
+    """xml with references to a document's own entities replaced by their text, escaped, in one pass: what they stand for is
+    not looked at again, predefined names keep their meaning, and CDATA, comments and processing instructions stay as they are."""
+    token = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<\?.*?\?>|<?[^<]+|<"
+
+    def said(value: Column) -> Column:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+            value = F.replace(value, F.lit(a), F.lit(b))
+        return value
+
+    def one(part: Column) -> Column:
+        name = F.substring_index(part, ";", 1)
+        known = (F.instr(part, ";") > 0) & ~name.isin(*PREDEFINED) & F.map_contains_key(entities, name)
+        return F.when(known, F.concat(said(F.try_element_at(entities, name)), F.substr(part, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+    def text(t: Column) -> Column:
+        parts = F.split(t, "&", -1)
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+
+    raw = lambda t: t.startswith("<![CDATA[") | t.startswith("<!--") | t.startswith("<?")
+    tokens = F.regexp_extract_all(xml, F.lit(f"({token})"), 1)
+    return F.when((F.size(entities) > 0) & xml.contains("&"), F.array_join(F.transform(tokens, lambda t: F.when(raw(t), t).otherwise(text(t))), "")).otherwise(xml)
+
+
+def typed(found: DataFrame, schema: str, keep: list[str | Column] | None = None, permissive: bool = False) -> DataFrame:
+    """Columns of a schema from records() by the native XML functions; character data is what the native reader makes of it
+    (trimmed). A record that it can't read fails the query, or, if permissive, has nulls."""
+    mode = {"mode": "PERMISSIVE" if permissive else "FAILFAST"}
+    xml = expanded(F.col("xml"), F.col("entities"))
+    rows = found.select(*(keep or ["doc_id", "rec_index"]), F.from_xml(xml, schema, mode).alias("from_xml"))
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns[:-1]), "from_xml.*")

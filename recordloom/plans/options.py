@@ -11,8 +11,8 @@ class XmlOptions:
 
     lenient: the rules of incremental reading: external DTDs are ignored, what follows the root is
     not looked at, and records before a malformed place are kept. permissive: errors become rows
-    of errors() instead of failing the query. parallel_threshold (bytes) and min_records do
-    nothing: no operator reads them, all documents stay in the partitions they are in."""
+    of errors() instead of failing the query. parallel_threshold (bytes) and min_records: below either,
+    sized() puts documents in one partition."""
 
     record_path: tuple[str, ...] = ()
     lenient: bool = False

@@ -1,6 +1,7 @@
 """Queries over the driver's tables: XML is written from a table by column expressions, run through
 the operators, and compared with plain SQL over the table. Documents hold DOC_KEYS keys each, so
-their number, not their size, grows with the data."""
+their number, not their size, grows with the data (those of nations and regions, of which there is a
+fixed number, aside)."""
 
 from __future__ import annotations
 
@@ -71,7 +72,7 @@ def record_path_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records two containers down, beside decoys of the same names."""
     c = table(spark, sf_dir, "customer")
     head = "<root><manifest><objects><object>decoy</object></objects> free text</manifest><body><note a='>'/><objects>"
-    docs = documents(c, F.col("c_nationkey").cast("long"), "c_custkey", F.format_string("<p:object><id>%d</id></p:object>", "c_custkey"), head, "</objects><objects/></body><objects><object/></objects></root>")
+    docs = documents(c, by_key("c_custkey"), "c_custkey", F.format_string("<p:object><id>%d</id></p:object>", "c_custkey"), head, "</objects><objects/></body><objects><object/></objects></root>")
     found = typed(records(docs, XmlOptions(("body", "objects"))), "id long")
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.max("rec_index").alias("last_index"))
 
@@ -86,7 +87,7 @@ def multi_container(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     record = F.format_string("<!-- <p>no</p> --><p q='a > b'>%d</p><?p <p>no</p>?><![CDATA[</r><p>no</p>]]>", "p_partkey")
-    return counts(documents(p, F.col("p_size").cast("long"), "p_partkey", record)).select("doc_id", "n_records")
+    return counts(documents(p, by_key("p_partkey"), "p_partkey", record)).select("doc_id", "n_records")
 
 
 def self_closing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +190,9 @@ def join_after_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workload_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workload(order_documents(spark, sf_dir)).groupBy("doc_id").agg(F.sum("size").alias("bytes"))
+    o = table(spark, sf_dir, "orders")
+    record = F.format_string('<order id="%d" cust="%d"><price>%.2f</price><status>%s</status></order>', "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return workload(documents(o, by_key("o_orderkey"), "o_orderkey", record, "<trades>\n", "\n</trades>", "\n")).groupBy("doc_id").agg(F.sum("size").alias("bytes"))
 
 
 def lenient_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,11 +208,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _doc(key: str) -> str:
+def doc_sql(key: str) -> str:
     return f"CAST(floor({key} / {DOC_KEYS}.0) AS BIGINT)"
 
 
-def _nth(doc: str, key: str) -> str:
+def nth_sql(doc: str, key: str) -> str:
     return f"CAST(row_number() OVER (PARTITION BY {doc} ORDER BY {key}) - 1 AS BIGINT)"
 
 
@@ -217,28 +220,27 @@ _REGION = "CAST(n_regionkey AS BIGINT)"
 ORACLE_SQL = {
     "trades_xml": "SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderkey) AS last_id FROM orders GROUP BY 1",
     "frame_count": f"SELECT {_ORDER_DOC} AS doc_id, count(*) AS n_records FROM orders GROUP BY 1",
-    "frame_ranges": f"SELECT {_doc('c_custkey')} AS doc_id, count(*) AS n, CAST(3 AS BIGINT) AS first_start, CAST(sum(strlen(c_name) + 10) AS BIGINT) AS bytes, CAST(3 + sum(strlen(c_name) + 10) AS BIGINT) AS last_end FROM customer GROUP BY 1",
-    "records_in_order": f"SELECT {_ORDER_DOC} AS doc_id, {_nth(_ORDER_DOC, 'o_orderkey')} AS rec_index, o_orderkey FROM orders",
-    "record_path_two": "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids, count(*) - 1 AS last_index FROM customer GROUP BY 1",
-    "multi_container": f"SELECT {_doc('s_suppkey')} AS doc_id, {_nth(_doc('s_suppkey'), 's_suppkey')} AS rec_index, s_suppkey FROM supplier",
-    "lookalikes": "SELECT CAST(p_size AS BIGINT) AS doc_id, count(*) AS n_records FROM part GROUP BY 1",
-    "self_closing_records": f"SELECT {_REGION} AS doc_id, {_nth('n_regionkey', 'n_nationkey')} AS rec_index, n_nationkey, n_name FROM nation",
+    "frame_ranges": f"SELECT {doc_sql('c_custkey')} AS doc_id, count(*) AS n, CAST(3 AS BIGINT) AS first_start, CAST(sum(strlen(c_name) + 10) AS BIGINT) AS bytes, CAST(3 + sum(strlen(c_name) + 10) AS BIGINT) AS last_end FROM customer GROUP BY 1",
+    "records_in_order": f"SELECT {_ORDER_DOC} AS doc_id, {nth_sql(_ORDER_DOC, 'o_orderkey')} AS rec_index, o_orderkey FROM orders",
+    "record_path_two": f"SELECT {doc_sql('c_custkey')} AS doc_id, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids, count(*) - 1 AS last_index FROM customer GROUP BY 1",
+    "multi_container": f"SELECT {doc_sql('s_suppkey')} AS doc_id, {nth_sql(doc_sql('s_suppkey'), 's_suppkey')} AS rec_index, s_suppkey FROM supplier",
+    "lookalikes": f"SELECT {doc_sql('p_partkey')} AS doc_id, count(*) AS n_records FROM part GROUP BY 1",
+    "self_closing_records": f"SELECT {_REGION} AS doc_id, {nth_sql('n_regionkey', 'n_nationkey')} AS rec_index, n_nationkey, n_name FROM nation",
     "attrs_decode": "SELECT p_partkey, p_name || ' & \"<''>' AS name FROM part",
     "text_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
-    "char_refs": f"SELECT {_doc('s_suppkey')} AS doc_id, {_nth(_doc('s_suppkey'), 's_suppkey')} AS rec_index, s_name || chr(128512) || chr(233) AS s_name FROM supplier",
+    "char_refs": f"SELECT {doc_sql('s_suppkey')} AS doc_id, {nth_sql(doc_sql('s_suppkey'), 's_suppkey')} AS rec_index, s_name || chr(128512) || chr(233) AS s_name FROM supplier",
     "custom_entities": "SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'BUILDING' WHEN 'MACHINERY' THEN 'MACHINERY &amp; more' ELSE '<other>' END AS text, count(*) AS n FROM customer GROUP BY 1",
-    "cdata_raw": f"SELECT {_doc('event_id')} AS doc_id, {_nth(_doc('event_id'), 'event_id')} AS rec_index, coalesce(props, '') || '&amp;<x>' AS props FROM events",
-    "text_run_breaks": f"WITH n AS (SELECT {_REGION} AS doc_id, {_nth('n_regionkey', 'n_nationkey')} AS rec_index, n_name, n_nationkey FROM nation) SELECT doc_id, rec_index, CAST(1 AS INTEGER) AS ev_index, n_name || ' & more' AS text FROM n UNION ALL SELECT doc_id, rec_index, CAST(2 AS INTEGER), CAST(n_nationkey AS VARCHAR) FROM n UNION ALL SELECT doc_id, rec_index, CAST(3 AS INTEGER), '<end' FROM n",
+    "cdata_raw": f"SELECT {doc_sql('event_id')} AS doc_id, {nth_sql(doc_sql('event_id'), 'event_id')} AS rec_index, coalesce(props, '') || '&amp;<x>' AS props FROM events",
+    "text_run_breaks": f"WITH n AS (SELECT {_REGION} AS doc_id, {nth_sql('n_regionkey', 'n_nationkey')} AS rec_index, n_name, n_nationkey FROM nation) SELECT doc_id, rec_index, CAST(1 AS INTEGER) AS ev_index, n_name || ' & more' AS text FROM n UNION ALL SELECT doc_id, rec_index, CAST(2 AS INTEGER), CAST(n_nationkey AS VARCHAR) FROM n UNION ALL SELECT doc_id, rec_index, CAST(3 AS INTEGER), '<end' FROM n",
     "event_counts": "SELECT 'Start' AS kind, 3 * count(*) AS n FROM orders UNION ALL SELECT 'End', 3 * count(*) FROM orders UNION ALL SELECT 'Text', 2 * count(*) FROM orders",
     "seq_events": f"SELECT {_REGION} AS doc_id, k.kind AS kind, count(*) + 1 AS n, CAST(max(k.depth) AS INTEGER) AS depth FROM nation, (VALUES ('Start', 1), ('End', 1), ('Text', 2)) k(kind, depth) GROUP BY 1, 2",
     "namespaces_resolve": "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'urn:d' AS uri_d, 'urn:' || r_name AS uri_p, 'urn:q' AS uri_q, CAST(NULL AS VARCHAR) AS uri_z FROM region",
     "prelude_rows": "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 'UTF-8' AS encoding, 'root_' || r_regionkey AS root_name, CAST(0 AS BIGINT) AS n_records FROM region",
-    "bad_records": f"WITH c AS (SELECT {_doc('c_custkey')} AS doc_id, {_nth(_doc('c_custkey'), 'c_custkey')} AS i, c_custkey FROM customer) SELECT doc_id, 'RecordError' AS kind, count(*) AS n, min(i) AS first_index FROM c WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0 GROUP BY 1",
+    "bad_records": f"WITH c AS (SELECT {doc_sql('c_custkey')} AS doc_id, {nth_sql(doc_sql('c_custkey'), 'c_custkey')} AS i, c_custkey FROM customer) SELECT doc_id, 'RecordError' AS kind, count(*) AS n, min(i) AS first_index FROM c WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0 GROUP BY 1",
     "bad_documents": "SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CASE n_nationkey % 8 WHEN 4 THEN 'UnsupportedDtd' WHEN 5 THEN 'Encoding' ELSE 'Malformed' END AS kind FROM nation WHERE n_nationkey % 8 <> 0",
     "typed_agg": "SELECT l_returnflag, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 1) AS sum_price, count(*) AS n FROM lineitem GROUP BY 1",
     "join_after_parse": "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
-    "workload_checksum": None,
+    # Names take 16 bytes: order, price, status.
+    "workload_checksum": f"SELECT {_ORDER_DOC} AS doc_id, CAST(sum(16 + length(CAST(o_orderkey AS VARCHAR)) + length(CAST(o_custkey AS VARCHAR)) + length(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)) + length(o_orderstatus)) AS BIGINT) AS bytes FROM orders GROUP BY 1",
     "lenient_frame": f"SELECT {_ORDER_DOC} AS doc_id, count(*) AS n_records FROM orders GROUP BY 1",
 }
-# Names take 16 bytes: order, price, status. The price's text is Spark's, so both sides go by it only where it has at most seven digits.
-del ORACLE_SQL["workload_checksum"]
