@@ -11,11 +11,15 @@ of fewer template words than c drop out (length); a meeting leaves c only if eno
 on both sides (positional). What is left is verified by intersecting the sets.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows and equal
-ids each get their row; without templates only the phrases count.
+ids each get their row; without templates only the phrases count; of phrases that overlap each other
+(none of PHRASES do) the first from the left is a place; a very long text is searched whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +27,7 @@ from .common import keyed, sorted_join, stored
 
 #: Fixed values of the contract: phrase and label.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates of the join, name and words: the usual one-line notices.
+#: Templates of the join, name and words: the usual one-line notices and headers (fixed values).
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2.0",
     "mit": "released under the mit license",
@@ -33,13 +37,17 @@ TEMPLATES = {
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
     "copyright": "all rights reserved copyright",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    "apache-header": "you may not use this file except in compliance with the license you may obtain a copy of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
 }
 CONTAINMENT = 0.8
 #: Templates are broadcast up to so many (word, template) rows, else the join shuffles both sides.
 BROADCAST_ROWS = 200_000
 
-_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+#: A word's characters, [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F], and the others. Java runs these classes ten times as fast as ranges.
+_WORD, _GAP = "[\\p{Alnum}\\P{ASCII}]", "[^\\p{Alnum}\\P{ASCII}]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,7 +75,10 @@ def phrase_columns(text: Column, phrases: dict[str, str] = PHRASES) -> dict[str,
         return F.exists(places, lambda x: x.rlike(whole))
 
     labels = F.array(*(F.when(stands(p), F.lit(label)) for p, label in phrases.items()))
-    any_ = text.rlike(pattern)
+    # Texts without a phrase's longest word needn't be searched for it.
+    low = F.lower(text)
+    may = reduce(or_, (low.contains(max(p.split(), key=len)) for p in phrases), F.lit(False))
+    any_ = may & text.rlike(pattern)
     return {
         "n_base": F.when(any_, F.size(places).cast("long")).otherwise(F.lit(0).cast("long")),
         "first_word": F.when(any_, count_words(F.element_at(between, 1))),

@@ -25,21 +25,21 @@ from pyspark.sql import functions as F
 from .common import picked, stored
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Fixed values of the contract, with run starts and possessive runs so that time stays linear.
-_LOCAL = "[A-Za-z0-9._%+-]"
+#: Fixed values of the contract, with run starts and possessive runs so that time stays linear; \p{Alnum} is [A-Za-z0-9], and faster.
+_LOCAL = "[\\p{Alnum}._%+-]"
 BASE = {
-    "email": f"(?:(?<!{_LOCAL})|\\G){_LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
+    "email": f"(?:(?<!{_LOCAL})|\\G){_LOCAL}++@[\\p{{Alnum}}-]++(?:\\.[\\p{{Alnum}}-]++)++",
     "ip": "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
     "card": "(?<![0-9])[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 #: Generators: wide patterns whose matches may overlap each other and base spans.
 WIDE = {
-    "email": "(?<![^\\s@])[^\\s@]++@[^\\s@]++|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\\x20?[\\[(](?:at|AT)[\\])]\\x20?[A-Za-z0-9-]++(?:\\x20?(?:\\.|[\\[(](?:dot|DOT)[\\])])\\x20?[A-Za-z0-9-]++)++",
+    "email": "(?<![^\\s@])[^\\s@]++@[^\\s@]++|(?<![\\p{Alnum}._%+-])[\\p{Alnum}._%+-]++\\x20?[\\[(](?:at|AT)[\\])]\\x20?[\\p{Alnum}-]++(?:\\x20?(?:\\.|[\\[(](?:dot|DOT)[\\])])\\x20?[\\p{Alnum}-]++)++",
     "ip": "(?<![0-9.])[0-9]++(?:\\.[0-9]++){2,}+",
     "card": "(?<![0-9])[0-9](?:[\\x20.-]{0,2}[0-9]){11,}+",
     "phone": "(?<![0-9])\\+?\\(?[0-9](?:[\\x20().-]{0,3}[0-9]){6,14}+(?![0-9])",
-    "secret": "(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
+    "secret": "(?<![\\p{Alnum}_+/-])[\\p{Alnum}_+/-]{20,}+",
 }
 #: Words before a candidate that mark it, up to its begin.
 CONTEXT = {

@@ -209,6 +209,27 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     return found if ids else found.drop("ids")
 
 
+def read_documents(spark: SparkSession, path: str, low: int, high: int, ids: bool = True) -> DataFrame:
+    """read() of the documents low <= doc_id <= high: row groups and pages whose bounds are outside aren't read."""
+    return read(spark, path, ids).where(F.col("doc_id").between(low, high))
+
+
+def read_tokens(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """doc_id, start, ids of the tokens low <= place < high of all files in order, cut at both ends: place by place as they
+    were written. Sizes of all documents are read, ids of those alone that hold such a place (and of others between
+    their doc_ids, where ids are equal or null)."""
+    sizes = read(spark, path, ids=False)
+    held = offsets(sizes, sizes).where((F.col("start") < high) & (F.col("start") + F.col("n_tokens") > low))
+    ends = held.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    found = read(spark, path)
+    if not ends["none"]:
+        found = found.where(F.col("doc_id").between(ends["low"], ends["high"])) if ends["low"] is not None else found.limit(0)
+    begin = F.greatest(F.lit(low) - F.col("start"), F.lit(0))
+    end = F.least(F.lit(high) - F.col("start"), F.col("n_tokens"))
+    met = found.join(held.select("file", "row", "start"), ["file", "row"])
+    return met.select("doc_id", (F.col("start") + begin).alias("start"), F.slice("ids", begin.cast("int") + 1, (end - begin).cast("int")).alias("ids"))
+
+
 def offsets(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds start, the ids before each row in file order: a running sum within each file, and the
     sums of the files before it, of which there is one row a file. sizes: file, n_tokens of the rows."""

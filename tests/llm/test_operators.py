@@ -92,13 +92,16 @@ def license_brute(text):
         places += at
         labels |= {label} if at else set()
     more, score = set(), 1.0 if places else 0.0
-    for line in text.split("\n"):
-        line = set(ALNUM.findall(lower(line)))
-        for name, t in license_scan.TEMPLATES.items():
-            t = set(ALNUM.findall(t))
-            if len(t & line) >= license_scan.CONTAINMENT * len(t) - 1e-9:
-                more.add(name)
-                score = max(score, len(t & line) / len(t))
+    lines = [ALNUM.findall(lower(x)) for x in text.split("\n")]
+    for name, t in license_scan.TEMPLATES.items():
+        size = len(ALNUM.findall(t))
+        t = set(ALNUM.findall(t))
+        # Lines, and in a text of several lines all windows of the template's length.
+        blocks = lines + ([words[i : i + size] for i in range(len(words))] if "\n" in text else [])
+        share = max((len(t & set(b)) / len(t) for b in blocks), default=0)
+        if share >= license_scan.CONTAINMENT - 1e-9:
+            more.add(name)
+            score = max(score, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more)), score
 
 
@@ -114,7 +117,7 @@ def test_license(spark, docs, rows, empty):
 
 def test_license_wrapped(spark):
     """Notices wrapped over lines are found, wherever the breaks are; words too far apart are not."""
-    notices = {name: text.split() for name, text in license_scan.TEMPLATES.items() if name in ("bsd", "mpl-2.0", "cc-by-4.0")}
+    notices = {name: text.split() for name, text in license_scan.TEMPLATES.items() if name in ("bsd", "mpl-2.0", "cc-by-4.0", "mit-text", "bsd-disclaimer")}
     rows, want = [(0, "\n".join(" ".join([w] + ["other"] * 9) for w in notices["bsd"]))], {0: ("", 0.0)}
     for name, ws in notices.items():
         for width in (1, 3, len(ws) // 2):
@@ -742,6 +745,29 @@ def test_words_are_encoded_as_by_the_library():
     assert bpe.encode(texts) == want and bpe.encode(texts[::-1]) == want[::-1]
 
 
+def test_token_files_are_read_in_part(spark, tmp_path):
+    """A range of documents reads the pages that hold it, and a range of tokens gives the tokens in their places."""
+    t = Tokenizer.from_file(public_tokenizers.path(token_parquet.VOCABULARY))
+    t.encode_special_tokens = True
+    texts = {i: " ".join(f"w{i * j % 997}" for j in range(i % 50)) for i in range(20_000)}
+    path = str(tmp_path / "tokens")
+    token_parquet.write(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path, partitions=1)
+    ids = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in list(texts.items())[9000:9100]}
+    part = token_parquet.read_documents(spark, path, 9000, 9099)
+    assert {r["doc_id"]: r["ids"] for r in part.collect()} == ids
+    scan = spark.read.parquet(path).where("doc_id between 9000 and 9099")
+    assert scan.count() == 100
+    rows = part._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert 100 <= rows <= 3000
+    start = {r["doc_id"]: r["start"] for r in token_parquet.index(spark, path).where("doc_id between 9000 and 9099").collect()}
+    low, high = start[9003] + 2, start[9090] + 1
+    found = token_parquet.read_tokens(spark, path, low, high).orderBy("start").collect()
+    line = [x for i in range(9000, 9100) for x in ids[i]]
+    assert [x for r in found for x in r["ids"]] == line[low - start[9000] : high - start[9000]]
+    assert all(r["start"] == max(start[r["doc_id"]], low) for r in found)
+    assert token_parquet.read_tokens(spark, path, 10**9, 10**9 + 5).count() == 0
+
+
 def test_token_files_layout(spark, docs, tmp_path):
     import pyarrow.parquet as pq
 
