@@ -2,8 +2,13 @@
 benchmark decontamination, token ids.
 
 Each stage takes what the one before it kept and returns the columns of documents; the last returns
-doc_id, n_tokens and ids. Rows with null ids pass the stages that work by id. A text that lost all
-its lines stays as an empty text; such texts are near-duplicates of each other, and one stays.
+doc_id, n_tokens and ids. Defined cases: a null text counts as an empty one, which the quality rules
+reject; rows of null id lose no lines, and are the last choice of a group of near-duplicates; of
+repeated rows one stays, by the near-duplicate stage; rows of equal id and other texts are separate;
+a text that lost all its lines stays as an empty text, such texts are near-duplicates of each other,
+and one stays; ties go to the least id, then to the least hash of the text; an empty table gives an
+empty table; columns may have any names; a very long text is worked on whole, in memory of some 50
+times its bytes.
 """
 
 from __future__ import annotations
