@@ -8,7 +8,8 @@ Training marks are weak ones: a candidate is positive if it covers an accepted b
 word of its kind's (CONTEXT) stands right before it, for secrets with an assignment; the trees don't
 see the words that make a mark. Limits are set on candidates that touch no base span, since only these can be
 added: scored by trees that didn't learn from their fold, each kind gets the least score at which
-precision reaches PRECISION, midway to the next lower one; a kind without such a score adds nothing.
+precision reaches PRECISION, midway to the next lower one, but not below even odds; a kind without such
+a score adds nothing. A candidate is compared with all base spans of its text.
 Candidates above it that touch no base span are added.
 
 Positions are code points, ends exclusive. Defined cases: null and empty texts have no spans;
@@ -220,7 +221,7 @@ def fit(found: DataFrame) -> tuple[Trees, dict[int, float]] | None:
         for n, limit in enumerate(steps):
             over = score[at] >= limit
             if positive[at][over].sum() >= PRECISION * total[at][over].sum():
-                limits[kind] = float((limit + steps[n - 1]) / 2) if n else float(limit)
+                limits[kind] = max(0.0, float((limit + steps[n - 1]) / 2) if n else float(limit))
                 break
     return Trees(x, positive, total), limits
 
