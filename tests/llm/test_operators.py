@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -621,6 +622,46 @@ def test_chain_dedup_links_passages_that_repeat_themselves(spark):
     assert set(linked(spark, rows).values()) == {0}
 
 
+def test_chain_dedup_leaves_linked_pairs_alone(spark, monkeypatch):
+    """Pairs share a passage of their own and one that all texts share: finds link these, so no seeds are brought together again."""
+    rng = np.random.default_rng(35)
+    both = prose(rng, 80)
+    own = [prose(rng, 70) for _ in range(15)]
+    rows = [(d, " ".join(prose(rng, 40) + both + prose(rng, 20) + own[d // 2] + prose(rng, 30))) for d in range(30)]
+    sizes, stored = {}, chain_dedup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(chain_dedup, "stored", counted)
+    assert set(linked(spark, rows).values()) == {0}
+    assert sizes["chain-seeds"] > 0 and sizes["chain-pairs"] > 0 and sizes["chain-common"] == 0
+
+
+def test_chain_dedup_lists_are_rows():
+    """Lists of places stand for rows of matches."""
+    rows = [(9, 1, 5, 7, False, None), (9, 2, None, 8, False, [1, 4, 6]), (8, 2, 3, None, True, [2]), (8, 1, 0, 0, True, None)]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "b", "i", "j", "long", "ats"])
+    found = [tuple(r.values()) for r in chain_dedup._listed(batch).to_pylist()]
+    assert found == [(9, 1, 5, 7, False), (9, 2, 1, 8, False), (9, 2, 4, 8, False), (9, 2, 6, 8, False), (8, 2, 3, 2, True), (8, 1, 0, 0, True)]
+
+
+def test_chains_in_order_are_optimal():
+    """Matches of which each precedes all later ones: each is in one chain at most, and the best score is the best of all."""
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        n = int(rng.integers(2, 40))
+        i, j = (np.cumsum(rng.integers(1, int(rng.choice([5, 30, 60])), n)) for _ in range(2))
+        found = chain_dedup.chains(i, j)
+        ends = sorted((a, b) for a, b, _, _ in found)
+        assert all(b < c for (_, b), (c, _) in zip(ends, ends[1:]))
+        score = lambda a, b: 1 + sum(1 - chain_dedup.GAP_COST * (i[k] - i[k - 1] + j[k] - j[k - 1]) for k in range(1, n) if a < i[k] <= b)  # noqa: B023, E731
+        assert abs(max([1.0, *(score(a, b) for a, b in ends)]) - chains_brute(i.tolist(), j.tolist())) < 1e-9
+
+
 def chains_brute(i, j):
     both = sorted(set(zip(i, j)))
     score = {}
